@@ -67,13 +67,15 @@ def trailing_totals(
         *names,
     ).select("e", "d", *[F.when(F.col("i") == 0, F.col(c)).otherwise(0).alias(c) for c in names])
     run = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    # a sum over the p preceding rows is the difference of two running sums, of the same cost for any p
+    sums = dense.withColumns({c: F.sum(c).over(run) for c in ["u", *[f"u{p}" for p in periods]]} | {"total": F.sum("n").over(run)})
     out = [F.col("e").alias(entity), F.col("d").alias("day"), F.col("n").alias("events")]
     for p in periods:
-        back = by_day.rowsBetween(1 - p, 0)
+        events_p = F.col("total") - F.lag("total", p, 0).over(by_day)
         out += [
-            F.sum("n").over(back).alias(f"events_{p}"),
-            F.sum(f"u{p}").over(run).alias(f"users_{p}"),
-            (F.sum("n").over(back) / F.lit(p)).alias(f"avg_events_{p}"),
-            (F.sum("u").over(back) / F.lit(p)).alias(f"avg_users_{p}"),
+            events_p.alias(f"events_{p}"),
+            F.col(f"u{p}").alias(f"users_{p}"),
+            (events_p / F.lit(p)).alias(f"avg_events_{p}"),
+            ((F.col("u") - F.lag("u", p, 0).over(by_day)) / F.lit(p)).alias(f"avg_users_{p}"),
         ]
-    return dense.select(*out)
+    return sums.select(*out)
