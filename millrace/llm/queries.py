@@ -1,9 +1,54 @@
 """Queries of the problems tagged llm, with their oracle SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.together import items_together
+from millrace.llm.topn import top_n
+from millrace.sources.tables import table
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = items_together(table(spark, d, "tiny_interactions"), "session_id", "item_id", min_together=6, min_ratio=5, min_cosine2=1 / 16)
+    return pairs.select("item_a", "item_b")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs = items_together(table(spark, d, "tiny_interactions"), "session_id", "item_id")
+    return pairs.withColumns({"ratio": F.round("ratio", 6), "llr": F.round("llr", 4)})
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_top5(spark, d).select("query_id", "place", "item_id")
+
+
+def p6_top5(spark: SparkSession, d: str) -> DataFrame:
+    return top_n(table(spark, d, "tiny_predictions"), "query_id", "item_id", "score", 5)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_top5)}
+
+
+_SETS = """WITH r AS (SELECT DISTINCT session_id AS s, item_id AS i FROM tiny_interactions WHERE session_id IS NOT NULL AND item_id IS NOT NULL),
+ t AS (SELECT count(DISTINCT s) AS baskets FROM r), c AS (SELECT i, count(*) AS k FROM r GROUP BY i),
+ p AS (SELECT x.i AS item_a, y.i AS item_b, count(*) AS n FROM r x JOIN r y ON x.s = y.s AND x.i < y.i GROUP BY ALL),
+ j AS (SELECT p.*, a.k AS n_a, b.k AS n_b, baskets FROM p JOIN c a ON a.i = item_a JOIN c b ON b.i = item_b, t)"""
+_XLX = lambda x, t: f"(CASE WHEN {x} > 0 THEN {x} * ln(CAST({x} AS DOUBLE) / {t}) ELSE 0 END)"
+_LLR = "greatest(0, 2 * (" + " + ".join(_XLX(x, "baskets") for x in ("n", "(n_a - n)", "(n_b - n)", "(baskets - n_a - n_b + n)")) + " - " + " - ".join(_XLX(x, "baskets") for x in ("n_a", "(baskets - n_a)", "n_b", "(baskets - n_b)")) + "))"
+_TOP = """WITH b AS (SELECT query_id, item_id, max(CASE WHEN score = 0 THEN 0.0 ELSE score END) AS score FROM tiny_predictions
+   WHERE score IS NOT NULL AND NOT isnan(score) AND query_id IS NOT NULL AND item_id IS NOT NULL GROUP BY ALL),
+ k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS place FROM b)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": f"{_SETS} SELECT item_a, item_b FROM j WHERE n >= 6 AND n * baskets >= 5 * n_a * n_b AND 16 * n * n >= n_a * n_b",
+        "p4_pairs": f"{_SETS} SELECT item_a, item_b, n, n_a, n_b, baskets, round(n * baskets / (n_a * n_b), 6) AS ratio, round({_LLR}, 4) AS llr FROM j",
+        "p6_found": f"{_TOP} SELECT query_id, place, item_id FROM k WHERE place <= 5",
+        "p6_top5": f"{_TOP} SELECT query_id, place, item_id, score FROM k WHERE place <= 5",
+    }
