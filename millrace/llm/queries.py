@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.leaks import leaked_passages
+from millrace.llm.shared import shared_pairs, shared_shares, shared_stretches
 from millrace.llm.together import items_together
 from millrace.llm.topn import top_n
 from millrace.sources.tables import table
@@ -30,8 +32,32 @@ def p6_top5(spark: SparkSession, d: str) -> DataFrame:
     return top_n(table(spark, d, "tiny_predictions"), "query_id", "item_id", "score", 5)
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", test_id="test_id", test_text="text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("test_id", "doc_id").distinct()
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return shared_stretches(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shared_shares(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_top5)}
+    return {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_top5, p8_found, p8_passages, p10_found, p10_stretches, p10_shares)}
 
 
 _SETS = """WITH r AS (SELECT DISTINCT session_id AS s, item_id AS i FROM tiny_interactions WHERE session_id IS NOT NULL AND item_id IS NOT NULL),
