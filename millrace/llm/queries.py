@@ -4,16 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.leaks import leaked_passages
+from millrace.llm.mix import mixed
 from millrace.llm.shared import shared_pairs, shared_shares, shared_stretches
+from millrace.llm.splits import deal_splits, tied_records
 from millrace.llm.together import items_together
 from millrace.llm.topn import top_n
 from millrace.sources.tables import table
 
 
+# Devices that name none; where the public tokenizer lies
+NO_DEVICE = ["", "unknown", "00000000"]
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def _ties(queries_: DataFrame, record: Column) -> DataFrame:
+    """Record and key of every tie of a query: its user, its device."""
+    device = F.lower(F.btrim("device_id"))
+    keys = F.array(
+        F.concat(F.lit("u"), F.col("user_id")), F.when(~device.isin(NO_DEVICE), F.concat(F.lit("d"), device))
+    )
+    return queries_.select(record.alias("record"), F.explode(keys).alias("key")).where("key IS NOT NULL AND record IS NOT NULL")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    tied = tied_records(_ties(table(spark, d, "tiny_queries"), F.col("query_id")), "record", "key")
+    leads = tied.groupBy("root").agg(F.min("record").alias("lead_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return tied.join(leads, "root").select(F.col("record").alias("query_id"), "lead_id")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    def of(name: str) -> DataFrame:
+        # a row without query_id is a record of its own
+        df = table(spark, d, name)
+        plain = F.lower(F.btrim("query_id"))
+        own = F.concat(F.lit("?"), F.sha2(F.to_json(F.struct(*df.columns)), 256))
+        return df.withColumn("record", F.when(F.length(plain) > 0, plain).otherwise(own))
+
+    queries_, ranker = of("tiny_queries"), of("ranker_x_train")
+    tied = tied_records(_ties(queries_, F.col("record")), "record", "key")
+    rows = queries_.select(F.lit("tiny_queries").alias("src"), "query_id", F.lit(None).cast("string").alias("item_id"), "record")
+    rows = rows.unionAll(ranker.select(F.lit("ranker_x_train").alias("src"), "query_id", "item_id", "record"))
+    records = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).join(tied, "record", "left")
+    records = records.withColumn("root", F.coalesce("root", F.concat(F.lit("="), "record")))
+    groups = records.groupBy("root").agg(F.sum("n").alias("n"))
+    splits = deal_splits(groups, "root", "n", SHARES)
+    return rows.join(records.join(splits, "root").select("record", "split"), "record").select("src", "query_id", "item_id", "split")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = items_together(table(spark, d, "tiny_interactions"), "session_id", "item_id", min_together=6, min_ratio=5, min_cosine2=1 / 16)
     return pairs.select("item_a", "item_b")
@@ -44,6 +86,21 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixed(
+        table(spark, d, "documents"), table(spark, d, "mix_targets"), doc_id="doc_id", text="text", source="source",
+        share="target_share", repeats="max_repeats", tokenizer_path=TOKENIZER,
+    )
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -57,7 +114,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pairs, p6_found, p6_top5, p8_found, p8_passages, p10_found, p10_stretches, p10_shares)}
+    return {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_pairs, p6_found, p6_top5, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_stretches, p10_shares)}
 
 
 _SETS = """WITH r AS (SELECT DISTINCT session_id AS s, item_id AS i FROM tiny_interactions WHERE session_id IS NOT NULL AND item_id IS NOT NULL),
