@@ -160,7 +160,7 @@ def mixed(
         drawn += [(shard, s, int(slot[k]), int(done[k]), int(got[k]), int(blocks_of[s])) for k, s in enumerate(order) if got[k]]
         left, done = left - got, done + got
     draws = spark.createDataFrame(drawn, "shard int, source string, first_slot long, first long, n long, blocks long")
-    each = draws.repartition(max(1, min(len(drawn), 256))).select("shard", "source", "blocks", "first_slot", "first", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
+    each = draws.repartition(slots // 4096 + 1).select("shard", "source", "blocks", "first_slot", "first", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
     number = F.col("first") + F.col("i")
     each = each.select("shard", (F.col("first_slot") + F.col("i")).alias("slot"), "source", F.pmod(number, F.col("blocks")).alias("x"), F.floor(number / F.col("blocks")).alias("use"), "blocks")
     each = each.withColumn("block", permuted("x", "blocks", F.xxhash64("source", "use", F.lit(seed)))).select("shard", "slot", "source", "block", "use")
