@@ -48,8 +48,7 @@ def plan_blocks(available: dict[str, int], shares: dict[str, float], repeats: di
 
     The total is the largest, up to `total`, of which all sources can fill their share with their blocks times
     their repeats, not counting sources that hold it down most, as long as these have less than `short` of all
-    shares together: those give all they can, and their lack stays a lack of theirs, so that the others keep
-    their shares of the total to each other.
+    shares together: those give all they can up to their share, and the others keep their shares to each other.
     """
     cap = {s: available.get(s, 0) * max(0, repeats[s]) for s in shares}
     mass = sum(shares.values()) or 1.0
@@ -61,18 +60,10 @@ def plan_blocks(available: dict[str, int], shares: dict[str, float], repeats: di
             break
         left_out.add(s)
     full = [s for s in tight if s not in left_out]
-    size = min([total, *(int(cap[s] / norm[s]) for s in full)]) if full else 0
-    out = {s: min(cap[s], int(size * norm[s])) for s in shares}
-    # the lack of the short sources is shared out in proportion, as far as blocks and repeats go
-    for _ in range(len(full) + 1):
-        lack, room = size - sum(out.values()), [s for s in full if out[s] < cap[s]]
-        weight = sum(norm[s] for s in room)
-        step = {s: min(cap[s] - out[s], int(lack * norm[s] / weight)) for s in room} if room and lack > 0 else {}
-        if not any(step.values()):
-            break
-        for s, x in step.items():
-            out[s] += x
-    return out
+    weight = sum(norm[s] for s in full)
+    given = {s: min(cap[s], int(total * norm[s])) for s in left_out}
+    size = min([total - sum(given.values()), *(cap[s] * weight / norm[s] for s in full)]) if full else 0
+    return {s: given[s] if s in left_out else min(cap[s], int(size * norm[s] / weight + 1e-9)) if s in full else 0 for s in shares}
 
 
 def _permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:

@@ -102,7 +102,9 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 def repeated_windows(docs: DataFrame, doc_id: str, text: str, length: int = 300, bits: int = 25) -> DataFrame:
     """`id`, `pos`, `h`: every window of `length` code points whose representative is estimated to be in more
     than one text, by id and 0-based place, with its hash. All windows that are in two texts are among them."""
-    src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length(text) >= length))
+    if not 3 <= bits <= 30:
+        raise ValueError("bits must be 3 to 30")
+    src = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= length))
     size = min(1 << bits, 1 << 16)
     sketches = src.select("text").mapInArrow(_sketch(length, bits), "block int, counts binary")
     merged = sketches.groupBy("block").applyInPandas(_merge, "block int, repeated binary").collect()
@@ -175,7 +177,7 @@ def shared_pairs(docs: DataFrame, doc_id: str, text: str, length: int = 300, bit
     kept = cut(first.join(heads, "h"))
     a, b = (kept.select("h", F.col("id").alias(f"doc_{x}"), F.col("pos").alias(f"pos_{x}")) for x in "ab")
     pairs = a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.collect_set(F.struct("pos_a", "pos_b")).alias("at"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length(text) >= length))
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= length))
     texts = texts.join(kept.select("id").distinct(), "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("doc_a"), F.col("text").alias("ta")), "doc_a").join(texts.select(F.col("id").alias("doc_b"), F.col("text").alias("tb")), "doc_b")
     equal = F.expr(f"exists(at, p -> substring(ta, p.pos_a + 1, {length}) = substring(tb, p.pos_b + 1, {length}))")
