@@ -89,9 +89,9 @@ def i14_rare(spark: SparkSession, d: str) -> DataFrame:
     return E.rare_combined(t, t, "category", 20).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("SELECT l_partkey, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, median(l_quantity) AS median, min(l_quantity) AS min, max(l_quantity) AS max, sum(l_quantity) AS sum, count(l_quantity) AS n, count(DISTINCT l_quantity) AS distinct, round(skewness(l_quantity), 6) AS skew, round(kurtosis(l_quantity), 5) AS kurt FROM lineitem GROUP BY 1 HAVING count(*) > 10")
+@R.add("SELECT l_partkey, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, median(l_quantity) AS median, min(l_quantity) AS min, max(l_quantity) AS max, sum(l_quantity) AS sum, count(l_quantity) AS n, count(DISTINCT l_quantity) AS distinct, CASE WHEN count(*) > 2 THEN round(skewness(l_quantity), 6) END AS skew, CASE WHEN count(*) > 3 THEN round(kurtosis(l_quantity), 5) END AS kurt FROM lineitem GROUP BY 1")
 def d3_group_stats(spark: SparkSession, d: str) -> DataFrame:
-    return r6(r6(E.group_stats(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity").where("n > 10"), "mean", "std", "skew"), "kurt", digits=5)
+    return r6(r6(E.group_stats(table(spark, d, "lineitem"), ["l_partkey"], "l_quantity"), "mean", "std", "skew"), "kurt", digits=5)
 
 
 @R.add("SELECT c_custkey, c_nationkey + c_acctbal AS a, c_nationkey * c_acctbal AS m, round(c_nationkey / (c_acctbal + 1e-6), 6) AS q, round(c_acctbal - avg(c_acctbal) OVER w, 6) AS dev FROM customer WINDOW w AS (PARTITION BY c_mktsegment)")
@@ -208,3 +208,61 @@ def h3_box_cox(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "orders")
     lam, column = E.box_cox(c, "o_totalprice")
     return c.select("o_orderkey", column.alias("x"), F.lit(lam).alias("lambda"))
+
+
+@R.add("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 9) AS share FROM orders GROUP BY 1")
+def d2_value_counts(spark: SparkSession, d: str) -> DataFrame:
+    return r6(E.value_counts(_orders(spark, d), "c"), "share", digits=9)
+
+
+@R.add("SELECT category, brand, count(*) AS copies FROM tiny_items GROUP BY ALL HAVING count(*) > 1")
+def g3_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tiny_items").groupBy("category", "brand").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+@R.add("SELECT DISTINCT query_id, item_id, ts_query IS NULL AS undated, label FROM tiny_pairs_train")
+def g2_distinct_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tiny_pairs_train").select("query_id", "item_id", F.col("ts_query").isNull().alias("undated"), "label").dropDuplicates()
+
+
+@R.add("WITH a AS (SELECT DISTINCT item_id FROM tiny_interactions WHERE item_id IS NOT NULL), b AS (SELECT DISTINCT item_id FROM tiny_items WHERE item_id IS NOT NULL) SELECT (SELECT count(*) FROM a) AS seen, (SELECT count(*) FROM a SEMI JOIN b USING (item_id)) AS known, (SELECT count(*) FROM a ANTI JOIN b USING (item_id)) AS cold")
+def c12_cold_items(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "tiny_items").select("item_id", F.lit(1).alias("k")).where("item_id IS NOT NULL").distinct()
+    seen = table(spark, d, "tiny_interactions").select("item_id").where("item_id IS NOT NULL").distinct().join(known, "item_id", "left")
+    return seen.agg(F.count(F.lit(1)).alias("seen"), F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("cold"))
+
+
+@R.add("WITH p AS (SELECT query_id, item_id FROM tiny_predictions WHERE item_id IS NOT NULL), t AS (SELECT query_id, item_id FROM tiny_pairs_train), u AS (SELECT 'predictions' AS a, 'pairs' AS b, count(*) AS common FROM (SELECT DISTINCT * FROM p INTERSECT SELECT DISTINCT * FROM t)) SELECT * FROM u")
+def c21_overlap(spark: SparkSession, d: str) -> DataFrame:
+    p, t = (table(spark, d, n).select("query_id", "item_id") for n in ("tiny_predictions", "tiny_pairs_train"))
+    return p.where("item_id IS NOT NULL").intersect(t).agg(F.lit("predictions").alias("a"), F.lit("pairs").alias("b"), F.count(F.lit(1)).alias("common"))
+
+
+@R.add("WITH f AS (SELECT query_id, item_id, max(CASE WHEN isnan(f1) OR isinf(f1) THEN NULL ELSE f1 END) AS f1 FROM ranker_x_train GROUP BY ALL), p AS (SELECT query_id, item_id, max(label) AS label FROM tiny_pairs_train GROUP BY ALL) SELECT p.query_id, p.item_id, p.label, CAST(coalesce(f1, 0) AS FLOAT) AS f1 FROM p LEFT JOIN f ON f.query_id = p.query_id AND f.item_id = p.item_id")
+def c1_feature_join(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "ranker_x_train").groupBy("query_id", "item_id").agg(F.max(E.finite("f1")).alias("f1"))
+    p = table(spark, d, "tiny_pairs_train").groupBy("query_id", "item_id").agg(F.max("label").alias("label"))
+    return p.join(f, ["query_id", "item_id"], "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)).cast("float"))
+
+
+@R.add("WITH x AS (SELECT l_orderkey, date_trunc('week', l_shipdate) AS w, l_extendedprice AS y FROM lineitem) SELECT strftime(w, '%Y-%m-%d') AS week, count(*) AS n, round(avg(y), 3) AS mean, round(median(y), 3) AS median FROM x GROUP BY w")
+def d18_by_week(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem").groupBy(F.date_format(F.date_trunc("week", "l_shipdate"), "yyyy-MM-dd").alias("week"))
+    return r6(x.agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"), F.median("l_extendedprice").alias("median")), "mean", "median", digits=3)
+
+
+@R.add("SELECT c_custkey, CASE WHEN c_acctbal > -1 THEN round(ln(1 + c_acctbal), 9) END AS log1p, round(sqrt(greatest(c_acctbal, 0)), 9) AS root, round(1 / (1 + exp(-c_acctbal / 5000)), 9) AS sigmoid, c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS crossed FROM customer")
+def h1_scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("c_acctbal")
+    return table(spark, d, "customer").select(
+        "c_custkey", F.when(x > -1, F.round(F.log1p(x), 9)).alias("log1p"), F.round(F.sqrt(F.greatest(x, F.lit(0))), 9).alias("root"), F.round(1 / (1 + F.exp(-x / 5000)), 9).alias("sigmoid"),
+        F.concat_ws("_", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("crossed"),
+    )
+
+
+@R.add(f"WITH r AS (SELECT o_orderkey, {_RANK('o_totalprice')} AS k, count(*) OVER () AS n FROM orders) SELECT o_orderkey, round(k / n, 9) AS pct FROM r")
+def e11_percent_rank(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    n = Q.running_counts(o.groupBy("o_totalprice").agg(F.count(F.lit(1)).alias("k")), "o_totalprice", ["k"])
+    total = o.agg(F.count(F.lit(1))).scalar()
+    return o.join(n, "o_totalprice").select("o_orderkey", F.round((F.col("cum_k") - (F.col("k") - 1) / 2) / total, 9).alias("pct"))

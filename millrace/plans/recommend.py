@@ -69,14 +69,12 @@ def k3_ngram(spark: SparkSession, d: str) -> DataFrame:
     return C.ngram_candidates(C.history(i, _queries(i), 10), C.ngram_transitions(i, CUT)).withColumn("score", F.round("score", 6))
 
 
-@R.add(f"WITH {_COVIS}, n AS (SELECT item_i, count(*) AS n FROM edges GROUP BY 1), c AS (SELECT x.item_i, y.item_i AS item_j, count(*) AS c FROM edges x JOIN edges y ON x.item_j = y.item_j AND x.item_i < y.item_i GROUP BY ALL) SELECT c.item_i, c.item_j, round(c / (a.n + b.n - c), 6) AS jaccard FROM c JOIN n a ON a.item_i = c.item_i JOIN n b ON b.item_i = c.item_j WHERE c.item_i % 50 = 0 AND c >= 4")
+@R.add(f"WITH {_COVIS}, n AS (SELECT item_i, count(*) AS n FROM edges GROUP BY 1), c AS (SELECT x.item_i, y.item_i AS item_j, count(*) AS c FROM edges x JOIN edges y ON x.item_j = y.item_j AND x.item_i <> y.item_i GROUP BY ALL), s AS (SELECT c.item_i, c.item_j, round(c / (a.n + b.n - c), 9) AS jaccard FROM c JOIN n a ON a.item_i = c.item_i JOIN n b ON b.item_i = c.item_j), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_i ORDER BY jaccard DESC, item_j) AS INT) AS rank FROM s) SELECT item_i, item_j, rank, round(jaccard, 6) AS jaccard FROM r WHERE rank <= 20")
 def k6_neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    e = C.covisit_edges(interactions(spark, d), CUT)
-    both = C.neighbour_jaccard(e)
-    n = e.groupBy("item_i").agg(F.count(F.lit(1)).alias("n"))
-    sized = both.join(n, "item_i").join(n.select(F.col("item_i").alias("item_j"), F.col("n").alias("m")), "item_j")
-    common = F.round(F.col("jaccard") * (F.col("n") + F.col("m")) / (1 + F.col("jaccard")))
-    return sized.where((F.col("item_i") % 50 == 0) & (common >= 4)).select("item_i", "item_j", F.round("jaccard", 6).alias("jaccard"))
+    one = C.neighbour_jaccard(C.covisit_edges(interactions(spark, d), CUT))
+    both = one.unionByName(one.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "jaccard"))
+    top = K.best(both.withColumn("jaccard", F.round("jaccard", 9)), "item_i", "jaccard", "item_j", 20)
+    return top.withColumn("jaccard", F.round("jaccard", 6))
 
 
 _MERGE = f"""{_COVIS}, pop AS (SELECT item_id, round(sum(exp(-floor((epoch_us(TIMESTAMP '{CUT}') - epoch_us(ts)) / 86400000000) / 30)), 9) AS score FROM known GROUP BY 1),

@@ -104,10 +104,10 @@ def d12_daily_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return T.daily_cumulative(interactions(spark, d), "item_id").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@R.add(f"WITH {INTER}, q AS (SELECT DISTINCT session_id, item_id, CAST(ts AS DATE) AS day FROM inter WHERE session_id % 7 = 0), n AS (SELECT item_id, CAST(ts AS DATE) AS day, count(*) AS n FROM inter GROUP BY ALL) SELECT q.session_id, q.item_id, coalesce(sum(n.n) FILTER (n.day >= q.day - 30), 0)::BIGINT AS n_30d, coalesce(sum(n.n), 0)::BIGINT AS n_90d FROM q LEFT JOIN n ON n.item_id = q.item_id AND n.day < q.day AND n.day >= q.day - 90 GROUP BY ALL")
+@R.add(f"WITH {INTER}, q AS (SELECT DISTINCT session_id, item_id, CAST(ts AS DATE) AS day FROM inter), n AS (SELECT item_id, CAST(ts AS DATE) AS day, count(*) AS n FROM inter GROUP BY ALL) SELECT q.session_id, q.item_id, coalesce(sum(n.n) FILTER (n.day >= q.day - 30), 0)::BIGINT AS n_30d, coalesce(sum(n.n), 0)::BIGINT AS n_90d FROM q LEFT JOIN n ON n.item_id = q.item_id AND n.day < q.day AND n.day >= q.day - 90 GROUP BY ALL")
 def c9_counts_before(spark: SparkSession, d: str) -> DataFrame:
     i = interactions(spark, d)
-    q = i.where("session_id % 7 = 0").select("session_id", "item_id", F.to_date("ts").alias("day")).distinct()
+    q = i.select("session_id", "item_id", F.to_date("ts").alias("day")).distinct()
     return T.counts_before(q, i, "item_id", "day", [30, 90]).select("session_id", "item_id", "n_30d", "n_90d")
 
 
