@@ -128,8 +128,19 @@ _TOP = """WITH b AS (SELECT query_id, item_id, max(CASE WHEN score = 0 THEN 0.0
  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS place FROM b)"""
 
 
+_TIES = """WITH RECURSIVE q AS (SELECT DISTINCT query_id, user_id, CASE WHEN lower(trim(device_id)) NOT IN ('', 'unknown', '00000000') THEN lower(trim(device_id)) END AS dev FROM tiny_queries WHERE query_id IS NOT NULL),
+ e AS (SELECT a.query_id AS a, b.query_id AS b FROM q a JOIN q b ON a.user_id = b.user_id UNION SELECT a.query_id, b.query_id FROM q a JOIN q b ON a.dev = b.dev),
+ r AS (SELECT a AS s, b AS v FROM e UNION SELECT r.s, e.b FROM r JOIN e ON e.a = r.v)"""
+_GRAMS = """WITH t AS (SELECT id, list_transform(regexp_extract_all(nfc_normalize(text), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w, side FROM
+  (SELECT test_id AS id, text, 't' AS side FROM eval_items UNION ALL SELECT doc_id, text, 'd' FROM documents)),
+ g AS (SELECT DISTINCT id, side, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM t WHERE len(w) >= 12)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"{_TIES} SELECT s AS query_id, min(v) AS lead_id FROM r GROUP BY s HAVING count(*) > 1",
+        "p8_found": f"{_GRAMS} SELECT DISTINCT a.id AS test_id, b.id AS doc_id FROM g a JOIN g b ON a.side = 't' AND b.side = 'd' AND a.g = b.g",
+        "p10_found": "WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",
         "p4_found": f"{_SETS} SELECT item_a, item_b FROM j WHERE n >= 6 AND n * baskets >= 5 * n_a * n_b AND 16 * n * n >= n_a * n_b",
         "p4_pairs": f"{_SETS} SELECT item_a, item_b, n, n_a, n_b, baskets, round(n * baskets / (n_a * n_b), 6) AS ratio, round({_LLR}, 4) AS llr FROM j",
         "p6_found": f"{_TOP} SELECT query_id, place, item_id FROM k WHERE place <= 5",
