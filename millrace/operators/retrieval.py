@@ -82,13 +82,21 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 
 
-def dense(index: DataFrame, queries: DataFrame, k: int | None, blocks: int = 64) -> DataFrame:
+def dense(index: DataFrame, queries: DataFrame, k: int | None, block: int = 1024, spread: int = 32) -> DataFrame:
     """query, doc, score, rank by exact cosine. index: doc, vector; queries: query, vector, a stated set that is
-    met by all vectors: it is cut in blocks, and each vector meets each block, so a task holds one block."""
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.greatest(F.sqrt(dot(F.col(c), F.col(c))), F.lit(1e-12)))
-    q = queries.select("query", unit("vector").alias("qv"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
-    d = index.select("doc", unit("vector").alias("dv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
-    pairs = d.join(q, "b").select("doc", "dv", F.explode("qs").alias("q"))
+    met by all vectors: it is cut in blocks of about `block` queries, each beside `spread` parts of the index, so
+    that a task holds one block and one part, and no vector travels more often than there are blocks."""
+    blocks = queries.count() // block + 1
+
+    def unit(df: DataFrame, key: str, name: str) -> DataFrame:
+        n = df.select(key, "vector", F.greatest(F.sqrt(dot(F.col("vector"), F.col("vector"))), F.lit(1e-12)).alias("n"))
+        return n.select(key, F.transform("vector", lambda x: x.cast("double") / F.col("n")).alias(name))
+
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    q = unit(queries, "query", "qv").groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query", "qv")).alias("qs"))
+    q = q.select("b", "qs", F.explode(numbers(spread)).alias("part"))
+    d = unit(index, "doc", "dv").select("doc", "dv", F.pmod(F.xxhash64("doc"), F.lit(spread)).alias("part"), F.explode(numbers(blocks)).alias("b"))
+    pairs = d.join(q, ["b", "part"]).select("doc", "dv", F.explode("qs").alias("q"))
     scores = pairs.select(F.col("q.query").alias("query"), "doc", F.round(dot(F.col("dv"), F.col("q.qv")), 9).alias("score"))
     return scores if k is None else best(scores, "query", "score", "doc", k)
 
@@ -133,3 +141,33 @@ def text_statistics(text: Column) -> dict[str, Column]:
 
 def normalised_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", " "), r"\s+", " "))
+
+
+def answer_scores(answer: Column, truth: Column) -> dict[str, Column]:
+    """Exact match and token F1 of normalised answers; common words as a set, lengths as lists."""
+    a, t = (F.filter(F.split(normalised_answer(x), " "), lambda w: w != "") for x in (answer, truth))
+    common = F.size(F.array_intersect(a, t))
+    p, r = common / F.size(a), common / F.size(t)
+    return {"em": (normalised_answer(answer) == normalised_answer(truth)).cast("int"), "f1": F.when(common > 0, 2 * p * r / (p + r)).otherwise(0.0)}
+
+
+def json_answer(reply: Column) -> Column:
+    """The answer and citations of a model's reply: code fences off, the outermost braces parsed; null fields where
+    there are none."""
+    body = F.regexp_extract(F.regexp_replace(reply, r"(?s)```(?:json)?", ""), r"(?s)(\{.*\})", 1)
+    return F.from_json(body, "answer STRING, citations ARRAY<INT>")
+
+
+def cut_at_stops(text: Column, stops: list[str]) -> Column:
+    """The text up to the first of any stop string."""
+    at = [F.when(F.instr(text, s) > 0, F.instr(text, s)) for s in stops]
+    first = F.least(*at) if len(at) > 1 else at[0]
+    return F.when(first.isNull(), text).otherwise(F.substring(text, F.lit(1), first - 1))
+
+
+def neighbour_statistics(index: DataFrame, queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """query, n, mean_score, mean_target, std_target (population) over the k nearest other vectors by cosine;
+    targets: doc, target."""
+    near = dense(index, queries, k + 1).where("query <> doc").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("place") <= k)
+    joined = near.join(targets, "doc")
+    return joined.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("target").alias("mean_target"), F.stddev_pop("target").alias("std_target"))

@@ -99,6 +99,31 @@ def h21_normalised(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", V.normalised_answer(F.col("title")).alias("answer"))
 
 
+@R.add(f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM cosn WHERE query <> doc) SELECT query, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS mean_target, round(stddev_pop(label), 6) AS std_target FROM r JOIN embeddings ON vec_id = doc WHERE rank <= 5 GROUP BY query")
+def i33_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    index = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    out = V.neighbour_statistics(index, asked, e.select(F.col("vec_id").alias("doc"), F.col("label").alias("target")), 5)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_score", "mean_target", "std_target")})
+
+
+_NORM = lambda c: rf"trim(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\[-`{{-~]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@R.add(f"WITH x AS (SELECT item_id, {_NORM('title')} AS a, {_NORM('description')} AS t FROM (SELECT DISTINCT item_id, title, description FROM tiny_items WHERE title IS NOT NULL AND description IS NOT NULL)), w AS (SELECT item_id, a = t AS em, string_split(a, ' ') AS a, string_split(t, ' ') AS t FROM x), c AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(t))) AS c FROM w) SELECT item_id, CAST(em AS INT) AS em, CASE WHEN c > 0 THEN round(2 * (c / len(a)) * (c / len(t)) / (c / len(a) + c / len(t)), 6) ELSE 0 END AS f1 FROM c")
+def l18_answers(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "tiny_items").where("title IS NOT NULL AND description IS NOT NULL").select("item_id", "title", "description").distinct()
+    s = V.answer_scores(F.col("title"), F.col("description"))
+    return x.select("item_id", s["em"].alias("em"), F.round(s["f1"], 6).alias("f1"))
+
+
+@R.add("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, split_part(props, ':', 1) AS head FROM events")
+def h24_json_and_stops(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", F.from_json("props", "k LONG").getField("k").alias("k"), V.cut_at_stops(F.col("props"), [":", "}"]).alias("head"))
+
+
 @R.add(None)
 def n1_linear_folds(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") > 250000).cast("int").alias("y"), F.length("o_orderpriority").cast("double").alias("a"), (F.col("o_custkey") % 13).cast("double").alias("b"), T.hashed_fold(F.col("o_orderkey"), 3).alias("fold"))

@@ -86,6 +86,14 @@ def test_context_window_cuts_a_first_text_over_budget(spark):
     assert got == {"q": (1, 3, "a b c"), "r": (1, 2, "f g")}
 
 
+def test_json_answers_and_stops(spark):
+    rows = [('x ```json\n{"answer": "a", "citations": [1, 2]}\n``` y',), ("no json",), (None,)]
+    df = spark.createDataFrame(rows, "r string").select(V.json_answer(F.col("r")).alias("j"), V.cut_at_stops(F.col("r"), ["{", "js"]).alias("c"))
+    got = df.collect()
+    assert (got[0].j.answer, got[0].j.citations, got[0].c) == ("a", [1, 2], "x ```")
+    assert got[1].c == "no " and got[2].c is None and (got[1].j is None or got[1].j.answer is None)
+
+
 def test_adapting_reads_epochs_and_requires_columns(spark):
     df = spark.createDataFrame([("u", "i", 1704067200000), ("u", "i", 1704067200000)], "uid string, item_id string, ts long")
     out = frames.adapt_interactions(df, {"user_id": "uid"}).collect()
