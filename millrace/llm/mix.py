@@ -49,14 +49,17 @@ def plan_blocks(available: dict[str, int], shares: dict[str, float], repeats: di
     The total is the largest, up to `total`, of which all sources can fill their share with their blocks times
     their repeats, not counting sources that hold it down most, as long as these have less than `short` of all
     shares together: those give all they can up to their share, and the others keep their shares to each other.
+    A source without any block to give is none of these: it is left out, whatever its share.
     """
     cap = {s: available.get(s, 0) * max(0, repeats[s]) for s in shares}
     mass = sum(shares.values()) or 1.0
     norm = {s: x / mass for s, x in shares.items()}
     tight = sorted((s for s in shares if norm[s] > 0), key=lambda s: cap[s] / norm[s])
-    left_out: set[str] = set()
-    for s in tight:
-        if cap[s] / norm[s] >= total or sum(norm[x] for x in left_out) + norm[s] >= short:
+    left_out = {s for s in tight if cap[s] == 0}
+    lacking = 0.0
+    for s in tight[len(left_out) :]:
+        lacking += norm[s]
+        if cap[s] / norm[s] >= total or lacking >= short:
             break
         left_out.add(s)
     full = [s for s in tight if s not in left_out]

@@ -172,6 +172,16 @@ def test_plan_keeps_shares_and_caps():
     assert plan_blocks({}, {"a": 1.0}, {"a": 1}, 10) == {"a": 0}
 
 
+def test_absent_sources_do_not_empty_the_mix():
+    have = {"a": 1_000_000, "b": 1_000_000, "unused": 1_000_000}
+    plan = plan_blocks(have, {"a": 0.5, "b": 0.4, "none": 0.1}, {"a": 1, "b": 1, "none": 4}, 900)
+    assert plan == {"a": 500, "b": 400, "none": 0}
+    # two absent ones, one of them for want of repeats; a scarce source beside them still has its own tenth
+    shares = {"a": 0.8, "none": 0.06, "unused": 0.06, "few": 0.08}
+    plan = plan_blocks(have | {"few": 3}, shares, {"a": 1, "none": 1, "unused": 0, "few": 1}, 1000)
+    assert plan == {"a": 997, "none": 0, "unused": 0, "few": 3}
+
+
 def test_mix(spark):
     rng = random.Random(1)
     docs = [(i, " ".join(rng.choice(["one", "two", "three", "два"]) for _ in range(rng.randrange(0, 60))), rng.choice(["A", " a", "b", "B ", "c", None]), 1) for i in range(200)]
