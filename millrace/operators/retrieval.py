@@ -103,8 +103,8 @@ def dense(index: DataFrame, queries: DataFrame, k: int | None, block: int = 1024
 
 def hybrid(sparse: DataFrame, dense_scores: DataFrame, alpha: float, k: int) -> DataFrame:
     """query, doc, score, rank: alpha sparse + (1 - alpha) dense, each brought to 0..1 over the query's documents
-    (constant: 0), a missing sparse score being 0."""
-    both = dense_scores.select("query", "doc", F.col("score").alias("d")).join(sparse.select("query", "doc", F.col("score").alias("s")), ["query", "doc"], "left").fillna(0.0, ["s"])
+    (constant: 0), which are those with either score, the one that is missing being 0."""
+    both = dense_scores.select("query", "doc", F.col("score").alias("d")).join(sparse.select("query", "doc", F.col("score").alias("s")), ["query", "doc"], "full").fillna(0.0, ["s", "d"])
     w = Window.partitionBy("query")
 
     def unit(c: str) -> Column:

@@ -86,6 +86,15 @@ def test_context_window_cuts_a_first_text_over_budget(spark):
     assert got == {"q": (1, 3, "a b c"), "r": (1, 2, "f g")}
 
 
+def test_hybrid_keeps_documents_and_queries_with_one_score(spark):
+    sparse = spark.createDataFrame([("q", 1, 4.0), ("q", 2, 2.0), ("no vector", 1, 3.0)], "query string, doc int, score double")
+    dense = spark.createDataFrame([("q", 2, 0.5), ("q", 3, 1.0), ("no terms", 3, 0.2)], "query string, doc int, score double")
+    got = sorted((r["query"], r["rank"], r.doc, r.score) for r in V.hybrid(sparse, dense, 0.4, 2).collect())
+    # q: sparse 4, 2, 0 and dense 0, 0.5, 1 of documents 1, 2, 3
+    assert got == [("no terms", 1, 3, 0.0), ("no vector", 1, 1, 0.0), ("q", 1, 3, 0.6), ("q", 2, 2, 0.5)]
+    assert [(r.doc, r.score) for r in V.hybrid(sparse.where("doc = 1"), dense, 0.8, 1).where("query = 'q'").collect()] == [(1, 0.8)]
+
+
 def test_json_answers_and_stops(spark):
     rows = [('x ```json\n{"answer": "a", "citations": [1, 2]}\n``` y',), ("no json",), (None,)]
     df = spark.createDataFrame(rows, "r string").select(V.json_answer(F.col("r")).alias("j"), V.cut_at_stops(F.col("r"), ["{", "js"]).alias("c"))
