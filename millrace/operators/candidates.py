@@ -7,13 +7,15 @@ fall by item.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import best
 
 DAY_US = 86_400_000_000
+BUCKETS = 1024
 
 
 def age_days(ts: str, cutoff: str):
@@ -122,15 +124,50 @@ def merged(sources: Mapping[str, DataFrame], quotas: Mapping[str, int], weights:
     return best(one, "query_id", "score", "item_id", k)
 
 
-def sampled_negatives(positives: DataFrame, items: DataFrame, n: int, seed: int = 0, pool: int = 64) -> DataFrame:
-    """query_id, item_id of n items for each query that are not its positives, drawn without replacement by
-    weight: hashed buckets of items stand in for one list, so that no query meets all items. Each query draws
-    from one of the buckets by its own hash; buckets hold about `pool` times n items."""
-    total = items.agg(F.count(F.lit(1))).scalar()
-    buckets = F.greatest(F.lit(1), (total / F.lit(pool * n)).cast("long"))
-    it = items.select("item_id", "weight", F.pmod(F.xxhash64("item_id", F.lit(seed)), buckets).alias("b"))
-    q = positives.groupBy("query_id").agg(F.collect_set("item_id").alias("own")).withColumn("b", F.pmod(F.xxhash64("query_id", F.lit(seed + 1)), buckets))
-    u = (F.pmod(F.xxhash64("query_id", "item_id", F.lit(seed + 2)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    drawn = q.join(it, "b").where("NOT array_contains(own, item_id)").withColumn("key", -F.log(u) / F.col("weight"))
-    w = Window.partitionBy("query_id").orderBy("key", "item_id")
-    return drawn.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).select("query_id", "item_id")
+def sampled_negatives(positives: DataFrame, items: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """query_id, item_id of n items for each query that are not its positives (all of these, where they are fewer),
+    drawn from all items without replacement by weight. Items without weight are never drawn.
+
+    Method: a draw is a seeded position on the running sums of the weights, which are sums over hash buckets and
+    within them. It meets its item by the cell of an even grid with as many cells as items, so that a draw meets
+    two items on average, whatever the weights. Positives and repeats are dropped, and queries that lack items
+    draw again, four times as often; as soon as that is no less than all items, they meet every item that they
+    lack, with exponential keys, which is the same draw."""
+    from millrace.session import cut
+
+    inside = Window.partitionBy("b").orderBy("item_id")
+    it = items.where("item_id IS NOT NULL AND weight > 0").select("item_id", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(BUCKETS)).alias("b"))
+    it = cut(it.withColumn("upto", F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, 0))))
+    per = it.groupBy("b").agg(F.max("upto").alias("t"), F.count(F.lit(1)).alias("items"))
+    ahead = cut(per.withColumn("ahead", F.coalesce(F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
+    size, mass = ahead.agg(F.coalesce(F.sum("items"), F.lit(0)), F.max(F.col("ahead") + F.col("t"))).first()
+    line = it.withColumn("lo", F.coalesce(F.lag("upto").over(inside), F.lit(0.0))).join(F.broadcast(ahead), "b")
+    line = line.select("item_id", "weight", (F.col("ahead") + F.col("lo")).alias("lo"), (F.col("ahead") + F.col("upto")).alias("hi"))
+    own = cut(positives.where("query_id IS NOT NULL AND item_id IS NOT NULL").select("query_id", "item_id").distinct())
+    short = cut(positives.where("query_id IS NOT NULL").select("query_id").distinct().withColumn("lack", F.lit(n)))
+
+    def uniform(*by: str | Column) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+    def first(drawn: DataFrame, order: str) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(order, "item_id")
+        fresh = drawn.join(own, ["query_id", "item_id"], "left_anti")
+        return cut(fresh.withColumn("k", F.row_number().over(w)).where("k <= lack").select("query_id", "item_id"))
+
+    found, done, m = [], 0, 4 * n
+    while m < size and not short.isEmpty():
+        cell = lambda x: F.floor(x / F.lit(mass / size))
+        cells = line.select("item_id", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+        draws = short.select("query_id", "lack", F.explode(F.sequence(F.lit(done), F.lit(done + m - 1))).alias("draw"))
+        draws = draws.withColumn("at", uniform("query_id", "draw", F.lit(seed + 1)) * F.lit(mass)).withColumn("cell", cell(F.col("at")))
+        hits = draws.join(cells, "cell").where("lo <= at AND at < hi").groupBy("query_id", "lack", "item_id").agg(F.min("draw").alias("draw"))
+        found.append(first(hits, "draw"))
+        own = own.unionByName(found[-1])
+        got = found[-1].groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
+        short = cut(short.join(got, "query_id", "left").select("query_id", (F.col("lack") - F.coalesce("got", F.lit(0))).cast("int").alias("lack")).where("lack > 0"))
+        done, m = done + m, 4 * m
+    if not found or not short.isEmpty():
+        every = short.crossJoin(line.select("item_id", "weight"))
+        u = uniform("query_id", "item_id", F.lit(seed + 2)) + F.lit(1 / (1 << 52))
+        found.append(first(every.withColumn("key", -F.log(u) / F.col("weight")), "key"))
+    return reduce(DataFrame.unionByName, found)
