@@ -71,7 +71,7 @@ def k3_ngram(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"WITH {_COVIS}, n AS (SELECT item_i, count(*) AS n FROM edges GROUP BY 1), c AS (SELECT x.item_i, y.item_i AS item_j, count(*) AS c FROM edges x JOIN edges y ON x.item_j = y.item_j AND x.item_i <> y.item_i GROUP BY ALL), s AS (SELECT c.item_i, c.item_j, round(c / (a.n + b.n - c), 9) AS jaccard FROM c JOIN n a ON a.item_i = c.item_i JOIN n b ON b.item_i = c.item_j), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_i ORDER BY jaccard DESC, item_j) AS INT) AS rank FROM s) SELECT item_i, item_j, rank, round(jaccard, 6) AS jaccard FROM r WHERE rank <= 20")
 def k6_neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    one = C.neighbour_jaccard(C.covisit_edges(interactions(spark, d), CUT))
+    one = C.neighbour_jaccard(C.covisit_edges(interactions(spark, d), CUT, neighbours=None))
     both = one.unionByName(one.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "jaccard"))
     top = K.best(both.withColumn("jaccard", F.round("jaccard", 9)), "item_i", "jaccard", "item_j", 20)
     return top.withColumn("jaccard", F.round("jaccard", 6))

@@ -1,6 +1,29 @@
 from collections import defaultdict
 
+import pytest
+
 from millrace.operators import candidates as C
+from millrace.plans import recommend as P
+
+
+@pytest.fixture
+def orders(spark, tmp_path):
+    """Writes baskets of (user, items), each an order of its own on one day before the cutoff, and gives the folder."""
+
+    def write(baskets, day="1999-12-01"):
+        heads = [(k, u, day) for k, (u, _) in enumerate(baskets)]
+        lines = [(k, i, 1.0, "N", n) for k, (_, items) in enumerate(baskets) for n, i in enumerate(items)]
+        spark.createDataFrame(heads, "o_orderkey long, o_custkey long, o_orderdate string").selectExpr("o_orderkey", "o_custkey", "CAST(o_orderdate AS DATE) AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+        spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_neighbour_sets_are_whole(spark, orders):
+    folder = orders([*[(1, [0, i]) for i in range(1, 206)], *[(1, [500, i]) for i in range(1, 101)]])
+    got = P.k6_neighbour_jaccard(spark, folder).where("item_i IN (0, 500)").collect()
+    assert sorted((r.item_i, r.item_j, r.jaccard) for r in got) == [(0, 500, round(100 / 205, 6)), (500, 0, round(100 / 205, 6))]
 
 
 def test_negatives_come_from_all_items_by_weight(spark):
