@@ -42,9 +42,10 @@ def history(log: DataFrame, queries: DataFrame, last: int) -> DataFrame:
     return seen.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < last).select("query_id", "item_id", "pos")
 
 
-def covisit_edges(log: DataFrame, cutoff: str, alpha: float = 0.05, min_count: int = 1, neighbours: int | None = 200, window_days: int | None = None) -> DataFrame:
+def covisit_edges(log: DataFrame, cutoff: str, alpha: float = 0.05, min_count: int = 1, neighbours: int | None = 200, window_days: int | None = None, places: int | None = 9) -> DataFrame:
     """item_i, item_j, w, n: symmetric weights exp(-alpha age) of items in one session, the best `neighbours` of
-    each item (None: all). Sessions are joined to themselves on distinct items; log sessions are short (bounded baskets)."""
+    each item (None: all). Sessions are joined to themselves on distinct items; log sessions are short (bounded
+    baskets). Rounded to 9 places, links of old events only weigh 0; places=None keeps their weight."""
     known = log.where(F.col("ts") <= F.lit(cutoff).cast("timestamp"))
     if window_days is not None:
         known = known.where(age_days("ts", cutoff) <= window_days)
@@ -53,7 +54,8 @@ def covisit_edges(log: DataFrame, cutoff: str, alpha: float = 0.05, min_count: i
     b = basket.select("session_id", F.col("item_id").alias("item_j"), F.col("ts").alias("tj"))
     w = F.exp(-alpha * age_days("t", cutoff))
     pairs = a.join(b, "session_id").where("item_i <> item_j").withColumn("t", F.greatest("ti", "tj"))
-    edges = pairs.groupBy("item_i", "item_j").agg(F.round(F.sum(w), 9).alias("w"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+    weight = F.sum(w) if places is None else F.round(F.sum(w), places)
+    edges = pairs.groupBy("item_i", "item_j").agg(weight.alias("w"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     return edges if neighbours is None else best(edges, "item_i", "w", "item_j", neighbours).drop("rank")
 
 

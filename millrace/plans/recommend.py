@@ -198,7 +198,7 @@ def k14_mmr(spark: SparkSession, d: str) -> DataFrame:
 def k6_walks(spark: SparkSession, d: str) -> DataFrame:
     i = interactions(spark, d)
     seeds = C.history(i, _queries(i), 5).select("query_id", "item_id")
-    return K.best(C.personalised_rank(C.covisit_edges(i, CUT, neighbours=20), seeds, rounds=2), "query_id", "score", "item_id", 20)
+    return K.best(C.personalised_rank(C.covisit_edges(i, CUT, neighbours=None, places=None), seeds), "query_id", "score", "item_id", 20)
 
 
 @R.add(None)

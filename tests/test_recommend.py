@@ -20,6 +20,24 @@ def orders(spark, tmp_path):
     return write
 
 
+def test_walks_reach_items_many_links_away_and_beyond_20_links(spark, orders):
+    folder = orders([(1, [1]), *[(2, [i, i + 1]) for i in range(1, 6)]])
+    got = {r.item_id: r.score for r in P.k6_walks(spark, folder).where("query_id = 1").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6} and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_walks_take_all_links_of_an_item(spark, orders):
+    folder = orders([(1, [1]), *[(2, [1, i]) for i in range(2, 25)]])
+    got = {r.item_id: r.score for r in P.k6_walks(spark, folder).where("query_id = 1").collect()}
+    assert len(got) == 20 and abs(got[1] + 23 * got[2] - 1) < 1e-9  # 23 equal links share what is not at item 1
+
+
+def test_walks_follow_old_links(spark, orders):
+    folder = orders([(1, [1]), (2, [1, 2]), (2, [2, 3])], day="1992-01-01")
+    got = {r.item_id: r.score for r in P.k6_walks(spark, folder).where("query_id = 1").collect()}
+    assert set(got) == {1, 2, 3} and abs(sum(got.values()) - 1) < 1e-9
+
+
 def test_neighbour_sets_are_whole(spark, orders):
     folder = orders([*[(1, [0, i]) for i in range(1, 206)], *[(1, [500, i]) for i in range(1, 101)]])
     got = P.k6_neighbour_jaccard(spark, folder).where("item_i IN (0, 500)").collect()
