@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import shutil
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,21 +19,53 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", own_folder())
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only where none is named (tests), a temporary one."""
+def own_folder() -> str:
+    """A folder on this machine for a local session, removed when the program ends."""
+    folder = f"/tmp/millrace-{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where none is named, a session on this machine alone takes one of
+    its own; on a cluster that is an error, as executors could not read a folder of the driver's machine."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
+    if not folder and current.isDefined():
+        return current.get()
+    if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = own_folder()
+    if not current.isDefined():
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def named_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for a table that is to be read again by its path."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage; survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Materialise df in the shared checkpoint folder and cut its lineage; survives lost executors. The files go
+    with the last reference to the table where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written as a parquet table of its own folder in the shared one, and read back: for tables of many columns
+    of which later steps read few, which keep their statistics."""
+    path = named_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
