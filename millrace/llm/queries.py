@@ -32,9 +32,8 @@ def _ties(queries_: DataFrame, record: Column) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    tied = tied_records(_ties(table(spark, d, "tiny_queries"), F.col("query_id")), "record", "key")
-    leads = tied.groupBy("root").agg(F.min("record").alias("lead_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return tied.join(leads, "root").select(F.col("record").alias("query_id"), "lead_id")
+    tied = tied_records(_ties(table(spark, d, "tiny_queries"), F.col("query_id")), "record", "key", alone=False)
+    return tied.select(F.col("record").alias("query_id"), F.col("root").alias("lead_id"))
 
 
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
