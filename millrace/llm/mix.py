@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from millrace.session import cut
 
-BUCKETS = 1024
-MAX_SHARDS = 65_536
-MAX_SOURCES = 10_000
+BUCKET_TOKENS = 1 << 24
 # Fixed value: the public byte-level tokenizers' pattern of pieces
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -44,12 +43,12 @@ def tokenized(docs: DataFrame, doc_id: str, text: str, source: str, path: str) -
 
 
 def plan_blocks(available: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: int, short: float = 0.1) -> dict[str, int]:
-    """Blocks of each source in a mix of at most `total` blocks.
+    """Tokens (or any other unit) of each source in a mix of at most `total`, given what it has.
 
-    The total is the largest, up to `total`, of which all sources can fill their share with their blocks times
+    The total is the largest, up to `total`, of which all sources can fill their share with what they have times
     their repeats, not counting sources that hold it down most, as long as these have less than `short` of all
     shares together: those give all they can up to their share, and the others keep their shares to each other.
-    A source without any block to give is none of these: it is left out, whatever its share.
+    A source without anything to give is none of these: it is left out, whatever its share.
     """
     cap = {s: available.get(s, 0) * max(0, repeats[s]) for s in shares}
     mass = sum(shares.values()) or 1.0
@@ -87,9 +86,24 @@ def _permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf(LongType())
-def permuted(x: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(_permuted(x.to_numpy(np.int64), n.to_numpy(np.int64), key.to_numpy(np.int64).view(np.uint64)))
+@dataclass(frozen=True)
+class Slots:
+    """Planned slots of a mix: for each source, in order, its slots' end, its blocks and a key."""
+
+    ends: np.ndarray
+    blocks: np.ndarray
+    keys: np.ndarray
+    seed: int
+
+    def placed(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Source number, block and use of each slot."""
+        n = self.ends[-1]
+        x = _permuted(slots, np.full(len(slots), n), np.full(len(slots), self.seed, np.uint64))
+        s = np.searchsorted(self.ends, x, side="right")
+        number = x - np.r_[0, self.ends[:-1]][s]
+        use = number // self.blocks[s]
+        key = self.keys[s] + use.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return s, _permuted(number % self.blocks[s], self.blocks[s], key), use
 
 
 def mixed(
@@ -105,35 +119,40 @@ def mixed(
     null or negative share or repeats get nothing. total_tokens: default all tokens of target sources; for what
     a mix of it can hold see plan_blocks. Copies of a document are documents.
 
+    The plan is made in tokens; a source gives the number of blocks whose mean length fills its part.
+
     Method: the documents of a source, in the order of a seeded hash, are one stream of tokens, cut in blocks of
-    `block` tokens (the last may be shorter); offsets are sums over hash buckets and within them, so no source
-    is in one task. Each output shard draws its counts of the sources at random without replacement from the
-    planned totals, which is the multinomial draw given these totals. The slots of a source pass through
+    `block` tokens (the last may be shorter); offsets are sums over hash buckets of about BUCKET_TOKENS tokens and
+    within them, so no source is in one task. All slots of the mix pass through one pseudorandom permutation of the
+    planned totals: the counts of the sources in a shard are so a multinomial draw conditioned on these totals,
+    made on the executors slot by slot, for any number of shards and blocks. The slots of a source pass through
     pseudorandom permutations of its blocks, another one for each round of repetition, so no block, and no
-    document's token, comes more often than the rounds; slots and blocks are joined by index.
+    document's token, comes more often than the rounds; slots and blocks are joined by index. The targets are a
+    control table: they alone, with a sum for each, come to the driver.
     """
     spark = docs.sparkSession
     wanted: dict[str, tuple[float, int]] = {}
-    rows = targets.select(F.lower(F.btrim(F.col(source))).alias("s"), F.col(share).cast("double").alias("x"), F.col(repeats).cast("int").alias("r")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    for r in rows:
+    for r in targets.select(F.lower(F.btrim(F.col(source))).alias("s"), F.col(share).cast("double").alias("x"), F.col(repeats).cast("int").alias("r")).collect():
         if r.s is not None and r.s not in wanted:
             wanted[r.s] = (max(0.0, r.x or 0.0), max(0, r.r or 0))
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
     known = docs.join(F.broadcast(names.select(F.col("source").alias("__target"))), F.lower(F.btrim(docs[source])) == F.col("__target"), "left_semi")
     toks = tokenized(known, doc_id, text, source, tokenizer_path)
-    toks = cut(toks.where(F.size("tokens") > 0).withColumns({"n": F.size("tokens"), "h": F.xxhash64("id", F.lit(seed))}).withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
-    per = cut(toks.groupBy("source", "bucket").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("docs")))
-    have = {r.source: r for r in per.groupBy("source").agg(F.sum("t").alias("t"), F.sum("docs").alias("docs")).collect()}
+    toks = cut(toks.where(F.size("tokens") > 0).withColumns({"n": F.size("tokens"), "h": F.xxhash64("id", F.lit(seed))}))
+    have = {r.source: r for r in toks.groupBy("source").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("docs")).collect()}
     blocks_of = {s: -(-r.t // block) for s, r in have.items()}
     total = total_tokens if total_tokens is not None else sum(r.t for r in have.values())
-    plan = plan_blocks(blocks_of, {s: x for s, (x, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, -(-total // block))
+    plan = plan_blocks({s: r.t for s, r in have.items()}, {s: x for s, (x, _) in wanted.items()}, {s: r for s, (_, r) in wanted.items()}, total)
+    slots_of = {s: min(round(n * blocks_of[s] / have[s].t), blocks_of[s] * wanted[s][1]) for s, n in plan.items() if n}
 
+    parts = {s: r.t // BUCKET_TOKENS + 1 for s, r in have.items()}
+    number = F.element_at(F.create_map(*[F.lit(x) for kv in (parts or {"": 1}).items() for x in kv]), F.col("source"))
+    toks = toks.withColumn("bucket", F.pmod("h", number))
+    per = toks.groupBy("source", "bucket").agg(F.sum("n").alias("t"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = per.select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("ahead"))
     run = Window.partitionBy("source", "bucket").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = toks.join(F.broadcast(ahead), ["source", "bucket"]).withColumn("start", F.col("ahead") + F.sum("n").over(run) - F.col("n"))
+    placed = toks.join(ahead, ["source", "bucket"]).withColumn("start", F.col("ahead") + F.sum("n").over(run) - F.col("n"))
     size = F.lit(block)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("n") - 1) / size)
     cuts = placed.select("source", "id", "start", "n", "tokens", F.explode(F.sequence(first, last)).alias("block"))
@@ -143,30 +162,27 @@ def mixed(
     packed = cuts.groupBy("source", "block").agg(F.sort_array(F.collect_list(piece)).alias("p"))  # at most `block` pieces
     packed = packed.select("source", "block", F.col("p.id").alias("doc_ids"), F.flatten("p.tokens").alias("tokens"))
 
-    order = [s for s in plan if plan[s]]
-    slots = sum(plan.values())
-    per_shard = max(shard_blocks, -(-slots // MAX_SHARDS))
-    rng, left, done, drawn = np.random.default_rng(seed), np.array([plan[s] for s in order], np.int64), np.zeros(len(order), np.int64), []
-    for shard in range(-(-slots // per_shard)):
-        n = min(per_shard, int(left.sum()))
-        got = left if n == left.sum() else rng.multivariate_hypergeometric(left, n, method="marginals")
-        slot = np.cumsum(np.r_[0, got])
-        drawn += [(shard, s, int(slot[k]), int(done[k]), int(got[k]), int(blocks_of[s])) for k, s in enumerate(order) if got[k]]
-        left, done = left - got, done + got
-    draws = spark.createDataFrame(drawn, "shard int, source string, first_slot long, first long, n long, blocks long")
-    each = draws.repartition(slots // 4096 + 1).select("shard", "source", "blocks", "first_slot", "first", F.explode(F.expr("sequence(0L, n - 1)")).alias("i"))
-    number = F.col("first") + F.col("i")
-    each = each.select("shard", (F.col("first_slot") + F.col("i")).alias("slot"), "source", F.pmod(number, F.col("blocks")).alias("x"), F.floor(number / F.col("blocks")).alias("use"), "blocks")
-    each = each.withColumn("block", permuted("x", "blocks", F.xxhash64("source", "use", F.lit(seed)))).select("shard", "slot", "source", "block", "use")
+    order = [s for s, n in slots_of.items() if n]
+    slots = sum(slots_of[s] for s in order)
+    held = Slots(np.cumsum([slots_of[s] for s in order] or [0]), np.array([blocks_of[s] for s in order] or [1]), np.array([zlib.crc32(s.encode()) for s in order] or [0], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed), seed)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b["id"].to_numpy(np.int64)
+            s, own, use = held.placed(x)
+            yield pd.DataFrame({"shard": x // shard_blocks, "slot": (x % shard_blocks).astype(np.int32), "source": np.array(order, object)[s], "block": own, "use": use})
+
+    each = spark.range(0, slots, 1, slots // 65_536 + 1).mapInPandas(draw, "shard long, slot int, source string, block long, use long")
     mix = each.join(packed, ["source", "block"]).select("shard", "slot", "source", "block", "use", F.size("tokens").alias("n_tokens"), "doc_ids", "tokens")
 
-    lengths = {s: (blocks_of[s], have[s].t) for s in have}
     final = spark.createDataFrame(
-        [(s, x, have[s].docs if s in have else 0, lengths[s][1] if s in have else 0, r) for s, (x, r) in wanted.items()],
+        [(s, x, have[s].docs if s in have else 0, have[s].t if s in have else 0, r) for s, (x, r) in wanted.items()],
         "source string, target_share double, documents long, available_tokens long, max_repeats int",
     )
-    used = each.join(packed.select("source", "block", F.size("tokens").alias("t")), ["source", "block"])
-    used = used.groupBy("source").agg(F.sum("t").alias("mix_tokens"), (F.max("use") + 1).cast("int").alias("uses"))
-    final = final.join(used, "source", "left").fillna(0, ["mix_tokens", "uses"])
-    everything = used.agg(F.sum("mix_tokens")).scalar()
-    return mix, final.withColumn("actual_share", F.coalesce(F.col("mix_tokens") / everything, F.lit(0.0)))
+    # all blocks of a source are full but its last
+    ends = spark.createDataFrame([(s, n - 1, have[s].t - (n - 1) * block) for s, n in blocks_of.items()], "source string, last long, short long")
+    length = F.when(F.col("block") == F.col("last"), F.col("short")).otherwise(F.lit(block))
+    used = each.join(F.broadcast(ends), "source").groupBy("source").agg(F.sum(length).alias("mix_tokens"), (F.max("use") + 1).cast("int").alias("uses"))
+    final = final.join(F.broadcast(used), "source", "left").fillna(0, ["mix_tokens", "uses"])
+    everything = F.sum("mix_tokens").over(Window.partitionBy(F.lit(0)))
+    return mix, final.withColumn("actual_share", F.when(everything > 0, F.col("mix_tokens") / everything).otherwise(0.0))
