@@ -89,7 +89,7 @@ def spanning_forest(links: DataFrame, a: str, b: str, path: str | None = None) -
 
     Links with a null end and links of a vertex to itself give no link (the latter's vertex has no label unless
     it is linked elsewhere); repeated links count once; an empty table gives empty results. Ends of any one
-    sortable type; a root is one of its part's vertices.
+    sortable type; a root is the least of its part's vertices.
 
     Method: Boruvka over numbered vertices, see _contracted. Parts at least halve in a round. Every step is an
     aggregation or an equi-join with its hot keys apart; nothing but counts comes to the driver.
@@ -103,18 +103,23 @@ def spanning_forest(links: DataFrame, a: str, b: str, path: str | None = None) -
     edges = cut(edges.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")))
     labels, forest = _contracted(edges)
     path = path or named_folder(spark, "forest")
-    name = lambda x: names.select(F.col("v").alias(f"__{x}"), F.col("vertex").alias(f"{x}_name"))
     if labels is None:
         labels, forest = names.selectExpr("v", "v AS root").limit(0), names.selectExpr("v AS u", "v").limit(0)
-    count = labels.count()
-    attached(attached(labels, "v", name("v"), "__v", count), "root", name("root"), "__root", count).select(F.col("v_name").alias("vertex"), F.col("root_name").alias("root")).write.parquet(f"{path}/labels")
-    attached(attached(forest, "u", name("u"), "__u", count), "v", name("v"), "__v", count).select(F.col("u_name").alias("u"), F.col("v_name").alias("v")).write.parquet(f"{path}/links")
+    own = cut(attached(labels, "v", names.select(F.col("v").alias("__v"), "vertex"), "__v", labels.count()))
+    least = own.groupBy(F.col("root").alias("__r")).agg(F.min("vertex").alias("least"))
+    named = attached(own, "root", least, "__r", own.count()).select("vertex", F.col("least").alias("root"), F.col("v").alias("number"))
+    named.write.parquet(f"{path}/labels")
+    forest.write.parquet(f"{path}/links")
     return read_forest(spark, path)
 
 
 def read_forest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(labels, forest) that spanning_forest wrote under the path."""
-    return spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/links")
+    """(labels, forest) that spanning_forest wrote under the path. Links lie there by the numbers of their ends, and
+    take their names from the labels when they are read."""
+    labels, links = spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/links")
+    for end in "uv":
+        links = links.withColumnRenamed(end, "number").join(labels.select("number", F.col("vertex").alias(f"{end}_")), "number").drop("number")
+    return labels.drop("number"), links.select(F.col("u_").alias("u"), F.col("v_").alias("v"))
 
 
 def tied_records(links: DataFrame, record: str, key: str, path: str | None = None, alone: bool = True) -> DataFrame:
@@ -132,9 +137,7 @@ def tied_records(links: DataFrame, record: str, key: str, path: str | None = Non
     least = cut(least.where("lead < last").select("__k", "lead"))
     pairs = attached(own, "key", least, "__k", n).where("record <> lead").select("lead", "record")
     labels, _ = spanning_forest(pairs, "lead", "record", path)
-    count = labels.count()
-    low = labels.groupBy(F.col("root").alias("__r")).agg(F.min("vertex").alias("low"))
-    tied = attached(labels, "root", low, "__r", count).select(F.col("vertex").alias("record"), F.col("low").alias("root"))
+    tied = labels.withColumnRenamed("vertex", "record")
     if alone:
         single = own.select("record").distinct().join(labels.select(F.col("vertex").alias("record")), "record", "left_anti")
         tied = tied.unionAll(single.select("record", F.col("record").alias("root")))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import cut
@@ -14,13 +14,15 @@ from millrace.session import cut
 GIANTS = 1024
 HOT_PARTS = 64
 FLUSH = 2_000_000
+PIECE = 1024
 STRIPES = "a long, part int, b array<long>, n array<long>"
 
 
 def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stripes of the sets in `x` (pairs within) or between `x` and `y` where y is not null, merged within the
-    task: for each item a the array of its partners b > a and their counts. Ids are even, hot items' are odd:
-    their stripes are cut in HOT_PARTS by partner, so that no reducer gets a whole one."""
+    task: for each item a the array of its partners b > a and their counts, in rows of at most PIECE partners. Ids
+    are even, hot items' are odd: their stripes are cut in HOT_PARTS by partner, so that no reducer gets a whole
+    one."""
     held: list[np.ndarray] = []
     size = 0
 
@@ -32,6 +34,8 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((b, part, a))
             a, b, n, part = a[order], b[order], n[order], part[order]
         starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])])
+        inside = np.arange(len(a)) - np.repeat(starts, np.diff(np.r_[starts, len(a)]))
+        starts = np.flatnonzero(inside % PIECE == 0)
         ends = np.r_[starts, len(a)].astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int64))) for v in (b, n)]
         yield pa.RecordBatch.from_arrays([pa.array(a[starts]), pa.array(part[starts].astype(np.int32)), *lists], ["a", "part", "b", "n"])
@@ -65,6 +69,37 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merged()
 
 
+def _added(least: int):
+    """Stripes sorted by item and part, those of one item and part added up to one: rows a, b, n of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 4
+
+        def total(a: np.ndarray, part: np.ndarray, b: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            order = np.lexsort((b, part, a))
+            a, part, b, n = a[order], part[order], b[order], n[order]
+            starts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])]) if len(a) else order
+            return [a[starts], part[starts], b[starts], np.add.reduceat(n, starts) if len(a) else n]
+
+        def out(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            keep = n >= least
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, n)], ["a", "b", "n"])
+
+        for batch in batches:
+            each = np.diff(np.asarray(batch.column("b").offsets))
+            new = [np.repeat(np.asarray(batch.column(c)).astype(np.int64), each) for c in ("a", "part")]
+            new += [np.asarray(batch.column(c).flatten()) for c in ("b", "n")]
+            a, part, b, n = total(*(np.concatenate([x, y]) for x, y in zip(held, new)))
+            # the last item and part may go on in the next batch
+            done = len(a) if not len(a) else int(np.flatnonzero((a != a[-1]) | (part != part[-1]))[-1:].sum() + ((a != a[-1]) | (part != part[-1])).any())
+            yield out(a[:done], b[:done], n[:done])
+            held = [x[done:] for x in (a, part, b, n)]
+        if len(held[0]):
+            yield out(held[0], held[2], held[3])
+
+    return run
+
+
 def _entropy(*counts: Column) -> Column:
     total = sum(counts[1:], counts[0])
     part = lambda k: F.when(k > 0, k * F.log(k / total)).otherwise(0.0)
@@ -86,18 +121,20 @@ def items_together(
     min_together: int = 1,
     min_ratio: float = 0.0,
     min_cosine2: float = 0.0,
+    min_llr: float = 0.0,
     block: int = 256,
     hot_baskets: int = 100_000,
 ) -> DataFrame:
     """`item_a` < `item_b`, `n` baskets with both, `n_a`, `n_b` with each, `baskets` in all, `ratio` of n to what
     chance gives (n_a n_b / baskets) and the log-likelihood ratio `llr`, for every pair that is together in at
-    least min_together baskets, has at least min_ratio, and n squared of at least min_cosine2 n_a n_b.
+    least min_together baskets, has at least min_ratio, n squared of at least min_cosine2 n_a n_b, and an llr of at
+    least min_llr (chi squared of one degree of freedom: 7.88 is the 0.5 % level).
 
     An item counts once in a basket; rows with null basket or item are left out; an item alone in its baskets
     and an empty table give no pair. Other columns are ignored. Item identifiers of any sortable type.
 
     Method: stripes. Each task turns baskets into arrays of partners by item and merges them; the merged arrays
-    go to the reducers by item (a hot item's in parts, by partner) and are summed there. The bounds prune
+    go to the reducers by item (a hot item's in parts, by partner) and are added up there, array by array. The bounds prune
     items before: n <= min(n_a, n_b), so an item in under min_together or over baskets / min_ratio baskets has no
     pair. Baskets of more than `block` items are cut in blocks, and the block pairs spread over the tasks. Of
     these the GIANTS largest never list their pairs where min_together > 1: a pair must be together in another
@@ -130,11 +167,16 @@ def items_together(
     if not long.isEmpty():
         listed = lean.join(long, "s")
         if min_together > 1:
-            top = long.orderBy(F.col("size").desc(), "s").limit(GIANTS).select("s", F.lit(True).alias("giant"))
+            top = long.orderBy(F.col("size").desc(), "s").limit(GIANTS)
+            top = top.select("s", (F.row_number().over(Window.orderBy("s")) - 1).alias("giant"))  # at most GIANTS rows
             listed = cut(listed.join(F.broadcast(top), "s", "left"))
-            giants = cut(listed.where("giant").groupBy("id").agg(F.collect_list("s").alias("g")))
-            dense = giants.where(F.size("g") >= min_together).select("id", F.lit(True).alias("dense"))
-            listed = listed.where("giant IS NULL").unionByName(listed.where("giant").join(dense, "id", "left_semi"))
+            words = -(-GIANTS // 64)
+            bit = F.expr("shiftleft(1L, CAST(giant % 64 AS INT))")
+            bits = [F.coalesce(F.bit_or(F.when(F.floor(F.col("giant") / 64) == w, bit)), F.lit(0).cast("long")) for w in range(words)]
+            giants = cut(listed.where("giant IS NOT NULL").groupBy("id").agg(F.array(*bits).alias("g")))
+            held_by = sum((F.bit_count(F.col("g")[w]) for w in range(1, words)), F.bit_count(F.col("g")[0]))
+            dense = giants.where(held_by >= min_together).select("id", F.lit(True).alias("dense"))
+            listed = listed.where("giant IS NULL").unionByName(listed.where("giant IS NOT NULL").join(dense, "id", "left_semi"))
         many = F.ceil(F.col("size") / F.lit(block)).cast("long")
         blocks = cut(lists(listed.withColumn("k", F.pmod(F.xxhash64("id"), many)), "s", "k"))
         parts.append(blocks.select("x", nothing))
@@ -143,19 +185,15 @@ def items_together(
     sets = parts[0]
     for p in parts[1:]:
         sets = sets.unionAll(p)
-    stripes = sets.mapInArrow(_stripes, STRIPES).repartition("a", "part")
-    pairs = (
-        stripes.select("a", "part", F.explode(F.arrays_zip("b", "n")).alias("x"))
-        .select("a", "part", F.col("x.b").alias("b"), F.col("x.n").alias("n"))
-        .groupBy("a", "part", "b")
-        .agg(F.sum("n").alias("n"))
-    )
+    stripes = sets.mapInArrow(_stripes, STRIPES).repartition("a", "part").sortWithinPartitions("a", "part")
+    pairs = stripes.mapInArrow(_added(min_together if giants is None else 1), "a long, b long, n long")
     if giants is not None:
         for side in "ab":
             of = giants.join(dense, "id", "left").select(F.col("id").alias(side), F.col("g").alias(f"g{side}"), F.col("dense").alias(f"d{side}"))
             pairs = pairs.join(of, side, "left")
-        common = F.coalesce(F.size(F.array_intersect("ga", "gb")), F.lit(0))
-        pairs = pairs.withColumn("n", F.col("n") + F.when(F.col("da") & F.col("db"), 0).otherwise(F.when(common > 0, common).otherwise(0)))
+        words = [F.bit_count(F.col("ga")[w].bitwiseAND(F.col("gb")[w])) for w in range(-(-GIANTS // 64))]
+        common = F.coalesce(sum(words[1:], words[0]), F.lit(0))
+        pairs = pairs.withColumn("n", F.col("n") + F.when(F.col("da") & F.col("db"), 0).otherwise(common))
     pairs = pairs.where(F.col("n") >= min_together).select("a", "b", "n")
     for side in "ab":
         pairs = pairs.join(items.select(F.col("id").alias(side), F.col("i").alias(f"i{side}"), F.col("n").alias(f"n{side}")), side)
@@ -170,7 +208,8 @@ def items_together(
     )
     product = F.col("n_a") * F.col("n_b")
     out = out.where((F.col("n") * F.col("baskets") >= F.lit(float(min_ratio)) * product) & (F.col("n") * F.col("n") >= F.lit(float(min_cosine2)) * product))
-    return out.withColumns({
+    out = out.withColumns({
         "ratio": F.col("n") * F.col("baskets") / product,
         "llr": log_likelihood_ratio(F.col("n"), F.col("n_a"), F.col("n_b"), F.col("baskets")),
     })
+    return out.where(F.col("llr") >= min_llr)

@@ -12,7 +12,3 @@ _WORD = regex.compile(r"[\p{L}\p{N}]+")
 def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFC", text))]
 
-
-def spans(text: str) -> list[tuple[int, int]]:
-    """Places of the words in the composed text."""
-    return [m.span() for m in _WORD.finditer(text)]

@@ -6,8 +6,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from millrace.llm import together
-from millrace.llm.leaks import leaked_passages, without_leaks
+from millrace.llm import leaks, together
+from millrace.llm.leaks import leaked_passages, short_tests, without_leaks
 from millrace.llm.mix import _permuted, mixed, plan_blocks
 from millrace.llm.shared import shared_pairs, shared_shares, shared_stretches
 from millrace.llm.splits import deal_splits, spanning_forest, tied_records
@@ -104,7 +104,9 @@ def test_words():
     assert words("Été, foo_bar 3x! ШОВ") == ["été", "foo", "bar", "3x", "шов"]
 
 
-def test_leaks_against_brute_force_and_removal(spark):
+@pytest.mark.parametrize("most", [4_000_000, 10])
+def test_leaks_against_brute_force_and_removal(spark, monkeypatch, most):
+    monkeypatch.setattr(leaks, "MAX_TEST_WORDS", most)
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(12)] + ["café"]
     tests = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(2, 12)))) for i in range(20)] + [(50, None), (51, ""), (52, "w1 w2")]
@@ -118,6 +120,20 @@ def test_leaks_against_brute_force_and_removal(spark):
     args = dict(doc_id="doc_id", text="text", test_id="test_id", test_text="text", n=n)
     hits = leaked_passages(d, t, **args).collect()
     assert {(r.test_id, r.doc_id) for r in hits} == want and all(r.n_words >= n for r in hits)
+    rows = sorted((r.test_id, r.doc_id, r.first_word, r.n_words) for r in hits)
+    spans = []
+    for a, x in tests:
+        for b, y in docs:
+            w, own = words(y or ""), {tuple(g) for g in grams(x)}
+            at = [i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in own] if b is not None else []
+            for i in at:
+                if spans and spans[-1][:2] == [a, b] and i <= spans[-1][3] + n:
+                    spans[-1][3] = i
+                else:
+                    spans.append([a, b, i, i])
+    assert rows == sorted((a, b, i, j - i + n) for a, b, i, j in spans)
+    short = {(r.test_id, r.n_words) for r in short_tests(t, test_id="test_id", test_text="text", n=n).collect()}
+    assert short == {(a, len(words(x or ""))) for a, x in tests if len(words(x or "")) < n}
     clean = without_leaks(d, t, **args, remove="spans").collect()
     bad = {b for _, b in want}
     assert len(clean) == len(docs) and {r.doc_id: r.text for r in clean if r.doc_id not in bad and r.doc_id} == {b: y for b, y in docs if b not in bad and b}
