@@ -1,32 +1,47 @@
 """Candidate generators: (query_id, item_id, score) from an event log, and their union.
 
-Scores are rounded to 9 places, so that equal scores are equal in whatever order they were summed, and ties
-fall by item.
+Sums of decayed weights are taken by whole days and added in the order of the days, so that equal items have equal
+scores on any partitioning; ties fall by item. Nothing is rounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import best
+from millrace.session import cut
 
 DAY_US = 86_400_000_000
 BUCKETS = 1024
 
 
-def age_days(ts: str, cutoff: str):
-    """Whole days from ts to the cutoff, at least 0."""
-    return F.greatest(F.lit(0), F.floor((F.unix_micros(F.lit(cutoff).cast("timestamp")) - F.unix_micros(ts)) / DAY_US))
+def until(log: DataFrame, cutoff: str, window_days: int | None = None) -> DataFrame:
+    """Rows up to the cutoff, of the last window_days before it where given."""
+    end = F.lit(cutoff).cast("timestamp")
+    known = log.where(F.col("ts") <= end)
+    return known if window_days is None else known.where(F.unix_micros("ts") >= F.unix_micros(end) - window_days * DAY_US)
 
 
-def popularity(log: DataFrame, cutoff: str, decay_days: float = 30) -> DataFrame:
-    """item_id and the sum of exp(-age / decay) of its events up to the cutoff."""
-    known = log.where(F.col("ts") <= F.lit(cutoff).cast("timestamp"))
-    return known.groupBy("item_id").agg(F.round(F.sum(F.exp(-age_days("ts", cutoff) / decay_days)), 9).alias("score"))
+def summed(df: DataFrame, keys: Sequence[str], day: str, n: str, weight: Callable[[Column], Column]) -> DataFrame:
+    """keys, w: the sum of n times the weight of the day, in the order of the days, of which a key has few."""
+    by_day = df.groupBy(*keys, day).agg(F.sum(n).alias("__n"))
+    days = by_day.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col("__n").alias("n")))).alias("x"))
+    return days.select(*keys, F.aggregate("x", F.lit(0.0), lambda s, x: s + x["n"] * weight(x["d"])).alias("w"))
+
+
+def popularity(log: DataFrame, cutoff: str, decay_days: float = 30, window_days: int | None = None) -> DataFrame:
+    """item_id and score: the sum of exp(-age / decay) of its events up to the cutoff, where age is whole days to the
+    last of these events."""
+    known = until(log, cutoff, window_days).where("item_id IS NOT NULL AND ts IS NOT NULL").select("item_id", F.unix_micros("ts").alias("us"))
+    last = known.agg(F.max("us")).scalar()
+    aged = known.select("item_id", F.floor((last - F.col("us")) / DAY_US).alias("age"), F.lit(1).alias("n"))
+    return summed(aged, ["item_id"], "age", "n", lambda d: F.exp(-d / F.lit(float(decay_days)))).withColumnRenamed("w", "score")
 
 
 def top_for_all(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -35,39 +50,66 @@ def top_for_all(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return queries.select("query_id", F.explode(top).alias("x")).select("query_id", "x.item_id", (-F.col("x.s")).alias("score"))
 
 
-def history(log: DataFrame, queries: DataFrame, last: int) -> DataFrame:
-    """query_id, item_id, pos: the last distinct items of each query's user up to ts_query, pos 0 the latest."""
-    seen = queries.join(log, "user_id").where("ts <= ts_query").groupBy("query_id", "item_id").agg(F.max("ts").alias("ts"))
-    w = Window.partitionBy("query_id").orderBy(F.col("ts").desc(), "item_id")
-    return seen.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < last).select("query_id", "item_id", "pos")
-
-
-def covisit_edges(log: DataFrame, cutoff: str, alpha: float = 0.05, min_count: int = 1, neighbours: int | None = 200, window_days: int | None = None, places: int | None = 9) -> DataFrame:
-    """item_i, item_j, w, n: symmetric weights exp(-alpha age) of items in one session, the best `neighbours` of
-    each item (None: all). Sessions are joined to themselves on distinct items; log sessions are short (bounded
-    baskets). Rounded to 9 places, links of old events only weigh 0; places=None keeps their weight."""
-    known = log.where(F.col("ts") <= F.lit(cutoff).cast("timestamp"))
-    if window_days is not None:
-        known = known.where(age_days("ts", cutoff) <= window_days)
-    basket = known.groupBy("session_id", "item_id").agg(F.max("ts").alias("ts"))
-    a = basket.select("session_id", F.col("item_id").alias("item_i"), F.col("ts").alias("ti"))
-    b = basket.select("session_id", F.col("item_id").alias("item_j"), F.col("ts").alias("tj"))
-    w = F.exp(-alpha * age_days("t", cutoff))
-    pairs = a.join(b, "session_id").where("item_i <> item_j").withColumn("t", F.greatest("ti", "tj"))
-    weight = F.sum(w) if places is None else F.round(F.sum(w), places)
-    edges = pairs.groupBy("item_i", "item_j").agg(weight.alias("w"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
+def history(log: DataFrame, queries: DataFrame, last: int, scope: str = "user_id", order: Sequence[str] = ("line", "item_id")) -> DataFrame:
+    """query_id, item_id, pos: the last events of each query's scope up to ts_query, repeats included, pos 0 the
+    latest; events of one moment in the order of the columns named. Events and queries are united and numbered along
+    each scope; a query then meets its events by scope and number, so that any number of queries of one scope each
+    bring `last` rows and no more."""
+    ev = log.where(F.col(scope).isNotNull() & F.col("ts").isNotNull() & F.col("item_id").isNotNull())
+    ev = ev.select(F.col(scope).alias("s"), F.unix_micros("ts").alias("us"), F.lit(0).alias("side"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "item_id")
+    kinds = dict(ev.dtypes)
+    empty = [F.lit(None).cast(kinds[c]).alias(c) for c in ev.columns[3:]]
+    asked = queries.where(F.col(scope).isNotNull() & F.col("ts_query").isNotNull()).select(F.col(scope).cast(kinds["s"]).alias("s"), F.unix_micros("ts_query").alias("us"), F.lit(1).alias("side"), *empty, "query_id")
+    both = ev.withColumn("query_id", F.lit(None).cast(dict(asked.dtypes)["query_id"])).unionByName(asked)
+    w = Window.partitionBy("s").orderBy("us", "side", *[f"o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cut(both.withColumn("k", F.sum(1 - F.col("side")).over(w)).select("s", "side", "k", "item_id", "query_id"))
+    back = numbered.where("side = 1 AND k > 0").select("s", "query_id", F.posexplode(F.sequence("k", F.greatest(F.col("k") - last + 1, F.lit(1)), F.lit(-1).cast("long"))).alias("pos", "k"))
+    return back.join(numbered.where("side = 0").select("s", "k", "item_id"), ["s", "k"]).select("query_id", "item_id", "pos")
+
+
+def paired(rows: DataFrame, scope: str, values: Sequence[str], block: int = 512) -> DataFrame:
+    """Every unordered pair of rows of one scope: each value as {value}_a and {value}_b. Scopes of more than `block`
+    rows are cut in blocks that meet in different tasks."""
+    rows = cut(rows.where(F.col(scope).isNotNull()).select(F.col(scope).alias("s"), *values).withColumn("r", F.monotonically_increasing_id()))
+    long = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select("s", F.ceil(F.col("n") / block).cast("long").alias("m"))
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = rows.join(long, "s", "left").withColumn("m", F.coalesce("m", one)).withColumn("k", F.pmod(F.xxhash64("r"), F.col("m")))
+    a = rows.select("s", F.col("r").alias("ra"), *[F.col(v).alias(f"{v}_a") for v in values], F.col("k").alias("ka"), F.explode(F.sequence("k", F.col("m") - 1)).alias("kb"))
+    b = rows.select("s", F.col("r").alias("rb"), *[F.col(v).alias(f"{v}_b") for v in values], F.explode(F.sequence(zero, F.col("k"))).alias("ka"), F.col("k").alias("kb"))
+    return a.join(b, ["s", "ka", "kb"]).where("ka < kb OR ra < rb").drop("s", "ka", "kb", "ra", "rb")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    turned = edges.select(*[F.col({"item_i": "item_j", "item_j": "item_i"}.get(c, c)).alias(c) for c in edges.columns])
+    return edges.unionByName(turned.where("item_i <> item_j"))
+
+
+def covisit_edges(log: DataFrame, cutoff: str, scope: str = "session_id", alpha: float = 0.05, min_weight: float = 1.0, neighbours: int | None = 200, window_days: int | None = 30) -> DataFrame:
+    """item_i, item_j, w: every two events of one scope within the window before the cutoff link their items by
+    exp(-alpha days), days being the whole days between the two; sums of under min_weight are left out, and each item
+    keeps its best `neighbours` (None: all). Symmetric before that; two events of one item link it with itself, both
+    ways at once."""
+    rows = until(log, cutoff, window_days).where("item_id IS NOT NULL AND ts IS NOT NULL").select(scope, "item_id", F.unix_micros("ts").alias("us"))
+    pairs = paired(rows, scope, ["item_id", "us"])
+    gap = F.floor(F.abs(F.col("us_a") - F.col("us_b")) / DAY_US)
+    twice = F.when(F.col("item_id_a") == F.col("item_id_b"), 2).otherwise(1)
+    links = pairs.select(F.least("item_id_a", "item_id_b").alias("item_i"), F.greatest("item_id_a", "item_id_b").alias("item_j"), gap.alias("gap"), twice.alias("n"))
+    edges = summed(links, ["item_i", "item_j"], "gap", "n", lambda d: F.exp(-alpha * d)).where(F.col("w") >= min_weight)
+    edges = both_ways(cut(edges))
     return edges if neighbours is None else best(edges, "item_i", "w", "item_j", neighbours).drop("rank")
 
 
 def covisit_candidates(hist: DataFrame, edges: DataFrame, decay: float = 0.9) -> DataFrame:
-    """Sum over the history of decay^pos times the edge weight."""
-    return hist.join(edges, hist.item_id == edges.item_i).groupBy("query_id", F.col("item_j").alias("item_id")).agg(F.round(F.sum(F.pow(F.lit(decay), "pos") * F.col("w")), 9).alias("score"))
+    """Sum over the history of decay^pos times the edge weight, in the order of pos."""
+    part = F.struct("pos", (F.pow(F.lit(decay), "pos") * F.col("w")).alias("x"))
+    met = hist.join(edges, hist.item_id == edges.item_i).groupBy("query_id", F.col("item_j").alias("item_id")).agg(F.sort_array(F.collect_list(part)).alias("x"))
+    return met.select("query_id", "item_id", F.aggregate("x", F.lit(0.0), lambda s, x: s + x["x"]).alias("score"))
 
 
-def ngram_transitions(log: DataFrame, cutoff: str, max_n: int = 3) -> DataFrame:
-    """prefix (array of up to max_n items), next, p: shares of the items that follow a prefix within a session."""
-    known = log.where(F.col("ts") <= F.lit(cutoff).cast("timestamp"))
-    w = Window.partitionBy("session_id").orderBy("ts", "line", "item_id")
+def ngram_transitions(log: DataFrame, cutoff: str, max_n: int = 3, scope: str = "user_id", order: Sequence[str] = ("line", "item_id")) -> DataFrame:
+    """prefix (array of up to max_n items), next, p: shares of the items that follow a prefix in a scope's events."""
+    known = until(log, cutoff).where(F.col(scope).isNotNull() & F.col("item_id").isNotNull())
+    w = Window.partitionBy(scope).orderBy("ts", *order)
     before = known.withColumns({f"b{n}": F.lag("item_id", n).over(w) for n in range(1, max_n + 1)})
     prefixes = F.array(*[F.when(F.col(f"b{n}").isNotNull(), F.array(*[F.col(f"b{k}") for k in range(n, 0, -1)])) for n in range(1, max_n + 1)])
     counts = before.select(F.explode(F.array_compact(prefixes)).alias("prefix"), F.col("item_id").alias("next")).groupBy("prefix", "next").agg(F.count(F.lit(1)).alias("n"))
@@ -84,24 +126,56 @@ def ngram_candidates(hist: DataFrame, transitions: DataFrame, max_n: int = 3, de
     return hits.groupBy("query_id", F.col("next").alias("item_id")).agg(F.sum(F.pow(F.lit(decay), F.size("prefix") - 1) * F.col("p")).alias("score"))
 
 
-def neighbour_jaccard(edges: DataFrame) -> DataFrame:
-    """item_i, item_j, jaccard of their sets of neighbours, for pairs with a neighbour in common."""
-    e = edges.select("item_i", F.col("item_j").alias("via"))
-    size = e.groupBy("item_i").agg(F.count(F.lit(1)).alias("n"))
-    common = e.join(e.select(F.col("item_i").alias("item_j"), "via"), "via").where("item_i < item_j").groupBy("item_i", "item_j").agg(F.count(F.lit(1)).alias("c"))
-    both = common.join(size.withColumnRenamed("n", "ni"), "item_i").join(size.select(F.col("item_i").alias("item_j"), F.col("n").alias("nj")), "item_j")
-    return both.select("item_i", "item_j", (F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("jaccard"))
+def links_of(log: DataFrame, cutoff: str, scope: str = "session_id") -> DataFrame:
+    """item_i < item_j: the distinct items that share a scope up to the cutoff."""
+    pairs = paired(until(log, cutoff).where("item_id IS NOT NULL").select(scope, "item_id").distinct(), scope, ["item_id"])
+    return pairs.select(F.least("item_id_a", "item_id_b").alias("item_i"), F.greatest("item_id_a", "item_id_b").alias("item_j")).distinct()
+
+
+def neighbour_jaccard(links: DataFrame) -> DataFrame:
+    """item_i, item_j, jaccard of the sets of neighbours of every two linked items (links: item_i < item_j, once
+    each), both ways. Common neighbours are triangles: each is found once, from its corner of least degree, so that an
+    item linked with most others is never joined with all pairs of its neighbours."""
+    links = cut(links)
+    size = cut(both_ways(links).groupBy("item_i").agg(F.count(F.lit(1)).alias("n")))
+    of = lambda side: size.select(F.col("item_i").alias(f"item_{side}"), F.col("n").alias(f"n{side}"))
+    e = cut(links.join(of("i"), "item_i").join(of("j"), "item_j"))
+    low = F.struct("ni", "item_i") < F.struct("nj", "item_j")
+    up = cut(e.select(F.when(low, F.col("item_i")).otherwise(F.col("item_j")).alias("u"), F.when(low, F.struct("nj", F.col("item_j").alias("id"))).otherwise(F.struct(F.col("ni").alias("nj"), F.col("item_i").alias("id"))).alias("v")))
+    wedges = up.join(up.select("u", F.col("v").alias("w")), "u").where("v < w").select("u", F.col("v.id").alias("v"), F.col("w.id").alias("w"))
+    corners = wedges.join(up.select(F.col("u").alias("v"), F.col("v.id").alias("w")), ["v", "w"])
+    sides = F.array(*[F.struct(F.least(x, y).alias("item_i"), F.greatest(x, y).alias("item_j")) for x, y in (("u", "v"), ("u", "w"), ("v", "w"))])
+    common = corners.select(F.explode(sides).alias("e")).groupBy("e.item_i", "e.item_j").agg(F.count(F.lit(1)).alias("c"))
+    c = F.coalesce("c", F.lit(0))
+    both = e.join(common, ["item_i", "item_j"], "left").select("item_i", "item_j", (c / (F.col("ni") + F.col("nj") - c)).alias("jaccard"))
+    return both_ways(both)
+
+
+def jaccard_candidates(hist: DataFrame, jaccard: DataFrame) -> DataFrame:
+    """Sum over the history of the similarity of its items' neighbours, in the order of pos."""
+    met = hist.join(jaccard, hist.item_id == jaccard.item_i).groupBy("query_id", F.col("item_j").alias("item_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "jaccard"))).alias("x"))
+    return met.select("query_id", "item_id", F.aggregate("x", F.lit(0.0), lambda s, x: s + x["jaccard"]).alias("score"))
+
+
+MAX_LINKS = 4_000_000
+CELLS = 4_000_000
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, rounds: int = 10) -> DataFrame:
-    """query_id, item_id, score: random walks with restart from each query's seed items along edge weights.
-    Lineage is cut each round through the shared checkpoint folder."""
-    from millrace.session import cut
+    """query_id, item_id, score: random walks with restart from each query's seed items along edge weights; a seed
+    that is named twice counts twice; walks that come to an item without edges end there.
 
+    A graph of at most MAX_LINKS edges, counted before, is broadcast (16 bytes each beside the items), and every task
+    walks from the queries of its own, some at a time, without an exchange. A larger graph is walked in rounds of
+    joins, each materialised."""
+    edges = edges.where("w > 0")
     total = edges.groupBy("item_i").agg(F.sum("w").alias("t"))
     step = cut(edges.join(total, "item_i").select("item_i", "item_j", (F.col("w") / F.col("t")).alias("p")))
     n = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    start = cut(seeds.join(n, "query_id").select("query_id", "item_id", (1 / F.col("n")).alias("s")))
+    start = seeds.join(n, "query_id").groupBy("query_id", "item_id").agg(F.sum(1 / F.col("n")).alias("s"))
+    if step.count() <= MAX_LINKS:
+        return _walked(step, start, restart, rounds)
+    start = cut(start)
     now = start
     for _ in range(rounds):
         moved = now.join(step, now.item_id == step.item_i).select("query_id", F.col("item_j").alias("item_id"), ((1 - restart) * F.col("s") * F.col("p")).alias("s"))
@@ -110,6 +184,46 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15,
     return now.withColumnRenamed("s", "score")
 
 
+def _walked(step: DataFrame, start: DataFrame, restart: float, rounds: int) -> DataFrame:
+    links = step.toPandas()
+    items, place = np.unique(np.concatenate([links["item_i"].to_numpy(), links["item_j"].to_numpy()]), return_inverse=True)
+    source, target = place[: len(links)].astype(np.int32), place[len(links) :].astype(np.int32)
+    order = np.argsort(target, kind="stable")
+    source, target, p = source[order], target[order], links["p"].to_numpy()[order]
+    starts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.empty(0, np.int64)
+    held = step.sparkSession.sparkContext.broadcast((items, source, target[starts] if len(starts) else target, starts, p))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items, source, target, starts, p = held.value
+        number = pd.Series(np.arange(len(items)), index=items)
+        wide = max(1, CELLS // max(1, len(source), len(items)))
+        for batch in batches:
+            for k in range(0, len(batch), wide):
+                part = batch.iloc[k : k + wide]
+                row = np.repeat(np.arange(len(part)), part["seeds"].map(len))
+                seeds, mass = (np.concatenate([np.asarray([x[f] for x in own]) for own in part["seeds"]]) for f in ("item_id", "s"))
+                at = number.reindex(seeds).fillna(-1).to_numpy(np.int64)
+                first = np.zeros((len(part), len(items)))
+                known = at >= 0
+                np.add.at(first, (row[known], at[known]), mass[known])
+                now = first
+                for _ in range(rounds):
+                    new = restart * first
+                    if len(starts):
+                        new[:, target] += (1 - restart) * np.add.reduceat(now[:, source] * p, starts, axis=1)
+                    now = new
+                q, i = np.nonzero(now)
+                ids = part["query_id"].to_numpy()
+                yield pd.DataFrame({"query_id": ids[q], "item_id": items[i], "score": now[q, i]})
+                # seeds without any link only restart
+                lone = np.flatnonzero(~known)
+                yield pd.DataFrame({"query_id": ids[row[lone]], "item_id": seeds[lone], "score": mass[lone] * (restart if rounds else 1.0)})
+
+    kinds = dict(start.dtypes)
+    rows = start.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "s")).alias("seeds"))
+    return rows.mapInPandas(walk, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
+
+
 def merged(sources: Mapping[str, DataFrame], quotas: Mapping[str, int], weights: Mapping[str, float], k: int) -> DataFrame:
     """query_id, item_id, sources, score, rank: of each source its best by quota, scores brought to 0..1 over the
     source (constant: 1), weighted, the greatest per item, the best k."""
@@ -118,7 +232,7 @@ def merged(sources: Mapping[str, DataFrame], quotas: Mapping[str, int], weights:
         top = best(df, "query_id", "score", "item_id", quotas[name])
         lo, hi = top.agg(F.min("score")).scalar(), top.agg(F.max("score")).scalar()
         norm = F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0)
-        parts.append(top.select("query_id", "item_id", F.lit(name).alias("source"), F.round(norm * weights[name], 9).alias("score")))
+        parts.append(top.select("query_id", "item_id", F.lit(name).alias("source"), (norm * weights[name]).alias("score")))
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
@@ -135,8 +249,6 @@ def sampled_negatives(positives: DataFrame, items: DataFrame, n: int, seed: int
     two items on average, whatever the weights. Positives and repeats are dropped, and queries that lack items
     draw again, four times as often; as soon as that is no less than all items, they meet every item that they
     lack, with exponential keys, which is the same draw."""
-    from millrace.session import cut
-
     inside = Window.partitionBy("b").orderBy("item_id")
     it = items.where("item_id IS NOT NULL AND weight > 0").select("item_id", F.col("weight").cast("double").alias("weight"), F.pmod(F.xxhash64("item_id", F.lit(seed)), F.lit(BUCKETS)).alias("b"))
     it = cut(it.withColumn("upto", F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, 0))))

@@ -44,32 +44,40 @@ def padded(df: DataFrame, queries: DataFrame, pool: DataFrame, k: int) -> DataFr
     return joined.select("query_id", F.posexplode(full).alias("p", "item_id")).select("query_id", "item_id", (F.col("p") + 1).alias("rank"))
 
 
-def mmr(df: DataFrame, k: int, trade: float, vector: str | None = None, category: str | None = None) -> DataFrame:
-    """Maximal marginal relevance: greedily trade * score - (1 - trade) * greatest similarity to those taken;
-    cosine of vectors, or 1 for an equal category. Sequential within one query's candidate list, which is short
-    after retrieval."""
-    what = vector or category
+def mmr_by_category(df: DataFrame, category: str, k: int, trade: float) -> DataFrame:
+    """Maximal marginal relevance where an equal category (null among them) is a similarity of 1: greedily the
+    greatest trade * score - (1 - trade) * [category taken], ties by score, then item. An item that is not the best of
+    its category always meets it taken, so the greedy order is the order of these fixed gains: whole lists of any
+    length, in two windows. Adds gain and rank."""
+    first = F.row_number().over(Window.partitionBy("query_id", category).orderBy(F.col("score").desc(), "item_id")) == 1
+    gained = df.withColumn("gain", trade * F.col("score") - F.when(first, 0.0).otherwise(1 - trade))
+    w = Window.partitionBy("query_id").orderBy(F.col("gain").desc(), F.col("score").desc(), "item_id")
+    return gained.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def mmr(df: DataFrame, k: int, trade: float, vector: str) -> DataFrame:
+    """Maximal marginal relevance: greedily trade * score - (1 - trade) * greatest cosine of vectors to those taken,
+    ties by score, then item; gain is that at the pick. Sequential within one query's candidates, which the caller
+    bounds by a retrieval stage; similarities are taken to the picked ones only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "item_id"], ascending=[False, True]).reset_index(drop=True)
-        if vector:
-            m = np.array(pdf[vector].tolist(), float)
-            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-            like = m @ m.T
-        else:
-            c = pdf[category].to_numpy(object)
-            like = (c[:, None] == c[None, :]).astype(float)
+        m = np.array(pdf[vector].tolist(), float)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        score, worst = pdf["score"].to_numpy(float), np.zeros(len(pdf))
         taken: list[int] = []
-        worst = np.zeros(len(pdf))
+        gains: list[float] = []
         for _ in range(min(k, len(pdf))):
-            gain = trade * pdf["score"].to_numpy(float) - (1 - trade) * worst
+            gain = trade * score - (1 - trade) * worst
             gain[taken] = -np.inf
             taken.append(int(np.argmax(gain)))
-            worst = np.maximum(worst, like[taken[-1]])
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[taken], "item_id": pdf["item_id"].iloc[taken], "rank": np.arange(1, len(taken) + 1)})
+            gains.append(gain[taken[-1]])
+            like = m @ m[taken[-1]]
+            worst = like if len(taken) == 1 else np.maximum(worst, like)
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[taken], "item_id": pdf["item_id"].iloc[taken], "rank": np.arange(1, len(taken) + 1), "gain": gains})
 
     kinds = dict(df.dtypes)
-    return df.select("query_id", "item_id", "score", what).groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, rank int")
+    return df.select("query_id", "item_id", "score", vector).groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, rank int, gain double")
 
 
 def average_rank(score: Column, *by: Column | str) -> Column:

@@ -18,15 +18,25 @@ CUT = "2000-01-01"
 
 _Q = f"""{INTER}, known AS (SELECT * FROM inter WHERE ts <= TIMESTAMP '{CUT}'), q AS (SELECT user_id AS query_id, user_id, max(ts) AS ts_query FROM known GROUP BY ALL),
  truth AS (SELECT DISTINCT user_id AS query_id, item_id FROM inter WHERE ts > TIMESTAMP '{CUT}' AND user_id IN (SELECT user_id FROM q))"""
-_POP = f"{_Q}, pop AS (SELECT item_id, round(sum(exp(-floor((epoch_us(TIMESTAMP '{CUT}') - epoch_us(ts)) / 86400000000) / 30)), 9) AS score FROM known GROUP BY 1)"
-_HIST = f"""{_Q}, seen AS (SELECT q.query_id, i.item_id, max(i.ts) AS ts FROM q JOIN inter i ON i.user_id = q.user_id AND i.ts <= q.ts_query GROUP BY ALL),
- hist AS (SELECT query_id, item_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, item_id) - 1 AS pos FROM seen) WHERE pos < 10)"""
-_COVIS = f"""{_HIST}, b AS (SELECT session_id, item_id, max(ts) AS ts FROM known GROUP BY ALL),
- e0 AS (SELECT x.item_id AS item_i, y.item_id AS item_j, round(sum(exp(-0.05 * floor((epoch_us(TIMESTAMP '{CUT}') - epoch_us(greatest(x.ts, y.ts))) / 86400000000))), 9) AS w, count(*) AS n
-  FROM b x JOIN b y ON x.session_id = y.session_id AND x.item_id <> y.item_id GROUP BY ALL),
- edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY w DESC, item_j) AS k FROM e0) WHERE k <= 200),
- covis AS (SELECT h.query_id, e.item_j AS item_id, round(sum(power(0.9, pos) * w), 9) AS score FROM hist h JOIN edges e ON e.item_i = h.item_id GROUP BY ALL)"""
-_NGRAM = f"""{_HIST}, s AS (SELECT item_id, lag(item_id, 1) OVER w AS b1, lag(item_id, 2) OVER w AS b2, lag(item_id, 3) OVER w AS b3 FROM known WINDOW w AS (PARTITION BY session_id ORDER BY ts, line, item_id)),
+_DAY = 86_400_000_000
+_POPS = f"""aged AS (SELECT item_id, floor((max(epoch_us(ts)) OVER () - epoch_us(ts)) / {_DAY}) AS age FROM known), byage AS (SELECT item_id, age, count(*) AS n FROM aged GROUP BY ALL),
+ pop AS (SELECT item_id, sum(n * exp(-age / CAST(30 AS DOUBLE)) ORDER BY age) AS score FROM byage GROUP BY 1)"""
+_POP = f"{_Q}, {_POPS}"
+
+
+def _hist(name: str, where: str = "true") -> str:
+    return f"""{name} AS (SELECT query_id, item_id, pos FROM (SELECT q.query_id, i.item_id, row_number() OVER (PARTITION BY q.query_id ORDER BY i.ts DESC, i.line DESC, i.item_id DESC) - 1 AS pos
+  FROM q JOIN inter i ON i.user_id = q.user_id AND i.ts <= q.ts_query AND {where}) WHERE pos < 10)"""
+
+
+_RECENT = f"i.ts >= TIMESTAMP '{CUT}' - INTERVAL 30 DAY"
+_EDGES = f"""{_Q}, {_hist("hist", _RECENT)}, raw AS (SELECT user_id, item_id, epoch_us(ts) AS us, row_number() OVER () AS r FROM known i WHERE {_RECENT}),
+ linked AS (SELECT least(x.item_id, y.item_id) AS a, greatest(x.item_id, y.item_id) AS b, floor(abs(x.us - y.us) / {_DAY}) AS gap, sum(CASE WHEN x.item_id = y.item_id THEN 2 ELSE 1 END) AS n
+  FROM raw x JOIN raw y ON x.user_id = y.user_id AND x.r < y.r GROUP BY ALL),
+ e0 AS (SELECT a, b, sum(n * exp(-0.05 * gap) ORDER BY gap) AS w FROM linked GROUP BY ALL), e1 AS (SELECT a AS item_i, b AS item_j, w FROM e0 WHERE w >= 1 UNION ALL SELECT b, a, w FROM e0 WHERE w >= 1 AND a <> b)"""
+_COVIS = f"""{_EDGES}, edges AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_i ORDER BY w DESC, item_j) AS k FROM e1) WHERE k <= 200),
+ covis AS (SELECT h.query_id, e.item_j AS item_id, sum(power(CAST(0.9 AS DOUBLE), pos) * w ORDER BY pos) AS score FROM hist h JOIN edges e ON e.item_i = h.item_id GROUP BY ALL)"""
+_NGRAM = f"""{_Q}, {_hist("hist")}, s AS (SELECT item_id, lag(item_id, 1) OVER w AS b1, lag(item_id, 2) OVER w AS b2, lag(item_id, 3) OVER w AS b3 FROM known WINDOW w AS (PARTITION BY user_id ORDER BY ts, line, item_id)),
  p AS (SELECT [b1] AS prefix, item_id FROM s WHERE b1 IS NOT NULL UNION ALL SELECT [b2, b1], item_id FROM s WHERE b2 IS NOT NULL UNION ALL SELECT [b3, b2, b1], item_id FROM s WHERE b3 IS NOT NULL),
  c AS (SELECT prefix, item_id, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY prefix) AS p FROM c),
  l AS (SELECT query_id, list(item_id ORDER BY pos DESC) AS items FROM hist GROUP BY 1),
@@ -44,7 +54,7 @@ def _truth(i: DataFrame) -> DataFrame:
 
 
 def _covis(i: DataFrame) -> DataFrame:
-    return C.covisit_candidates(C.history(i, _queries(i), 10), C.covisit_edges(i, CUT))
+    return C.covisit_candidates(C.history(C.until(i, CUT, 30), _queries(i), 10), C.covisit_edges(i, CUT, scope="user_id"))
 
 
 @R.add(f"WITH {_POP} SELECT item_id, round(score, 6) AS score FROM pop ORDER BY pop.score DESC, item_id LIMIT 20")
@@ -69,19 +79,29 @@ def k3_ngram(spark: SparkSession, d: str) -> DataFrame:
     return C.ngram_candidates(C.history(i, _queries(i), 10), C.ngram_transitions(i, CUT)).withColumn("score", F.round("score", 6))
 
 
-@R.add(f"WITH {_COVIS}, n AS (SELECT item_i, count(*) AS n FROM edges GROUP BY 1), c AS (SELECT x.item_i, y.item_i AS item_j, count(*) AS c FROM edges x JOIN edges y ON x.item_j = y.item_j AND x.item_i <> y.item_i GROUP BY ALL), s AS (SELECT c.item_i, c.item_j, round(c / (a.n + b.n - c), 9) AS jaccard FROM c JOIN n a ON a.item_i = c.item_i JOIN n b ON b.item_i = c.item_j), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_i ORDER BY jaccard DESC, item_j) AS INT) AS rank FROM s) SELECT item_i, item_j, rank, round(jaccard, 6) AS jaccard FROM r WHERE rank <= 20")
+_JACCARD = """l AS (SELECT DISTINCT x.item_id AS item_i, y.item_id AS item_j FROM known x JOIN known y ON x.session_id = y.session_id AND x.item_id < y.item_id),
+ lb AS (SELECT * FROM l UNION ALL SELECT item_j, item_i FROM l), n AS (SELECT item_i, count(*) AS n FROM lb GROUP BY 1),
+ c AS (SELECT l.item_i, l.item_j, count(*) AS c FROM l JOIN lb x ON x.item_i = l.item_i JOIN lb y ON y.item_i = l.item_j AND y.item_j = x.item_j GROUP BY ALL),
+ s AS (SELECT lb.item_i, lb.item_j, coalesce(c, 0) / (a.n + b.n - coalesce(c, 0)) AS jaccard FROM lb LEFT JOIN c ON c.item_i = least(lb.item_i, lb.item_j) AND c.item_j = greatest(lb.item_i, lb.item_j)
+  JOIN n a ON a.item_i = lb.item_i JOIN n b ON b.item_i = lb.item_j)"""
+
+
+@R.add(f"WITH {_Q}, {_JACCARD}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_i ORDER BY jaccard DESC, item_j) AS INT) AS rank FROM s) SELECT item_i, item_j, rank, round(jaccard, 6) AS jaccard FROM r WHERE rank <= 20")
 def k6_neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    one = C.neighbour_jaccard(C.covisit_edges(interactions(spark, d), CUT, neighbours=None))
-    both = one.unionByName(one.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "jaccard"))
-    top = K.best(both.withColumn("jaccard", F.round("jaccard", 9)), "item_i", "jaccard", "item_j", 20)
-    return top.withColumn("jaccard", F.round("jaccard", 6))
+    return K.best(C.neighbour_jaccard(C.links_of(interactions(spark, d), CUT)), "item_i", "jaccard", "item_j", 20).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@R.add(f"WITH {_Q}, {_JACCARD}, {_hist('hist')} SELECT query_id, item_j AS item_id, round(sum(jaccard ORDER BY pos), 6) AS score FROM hist JOIN s ON s.item_i = hist.item_id WHERE pos < 5 GROUP BY ALL")
+def k6_graph(spark: SparkSession, d: str) -> DataFrame:
+    i = interactions(spark, d)
+    return C.jaccard_candidates(C.history(i, _queries(i), 5), C.neighbour_jaccard(C.links_of(i, CUT))).withColumn("score", F.round("score", 6))
 
 
-_MERGE = f"""{_COVIS}, pop AS (SELECT item_id, round(sum(exp(-floor((epoch_us(TIMESTAMP '{CUT}') - epoch_us(ts)) / 86400000000) / 30)), 9) AS score FROM known GROUP BY 1),
+_MERGE = f"""{_COVIS}, {_POPS},
  p10 AS (SELECT item_id, score FROM pop ORDER BY score DESC, item_id LIMIT 20), s AS (SELECT 'covis' AS source, query_id, item_id, score FROM covis UNION ALL SELECT 'pop', query_id, item_id, score FROM q, p10),
  r AS (SELECT *, row_number() OVER (PARTITION BY source, query_id ORDER BY score DESC, item_id) AS k FROM s), f AS (SELECT * FROM r WHERE k <= CASE source WHEN 'covis' THEN 50 ELSE 20 END),
  mm AS (SELECT *, min(score) OVER (PARTITION BY source) AS lo, max(score) OVER (PARTITION BY source) AS hi FROM f),
- g AS (SELECT query_id, item_id, list_sort(list(DISTINCT source)) AS sources, max(round((score - lo) / (hi - lo) * CASE source WHEN 'covis' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END, 9)) AS score FROM mm GROUP BY ALL),
+ g AS (SELECT query_id, item_id, list_sort(list(DISTINCT source)) AS sources, max((score - lo) / (hi - lo) * CASE source WHEN 'covis' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END) AS score FROM mm GROUP BY ALL),
  merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM g) WHERE rank <= 20)"""
 
 
@@ -90,9 +110,9 @@ def _merged(i: DataFrame) -> DataFrame:
     return C.merged(sources, {"covis": 50, "pop": 20}, {"covis": 1.0, "pop": 0.3}, 20)
 
 
-@R.add(f"WITH {_MERGE} SELECT query_id, count(*) AS n, round(sum(score), 5) AS total, sum(len(sources))::BIGINT AS sources FROM merged GROUP BY query_id")
+@R.add(f"WITH {_MERGE} SELECT query_id, item_id, array_to_string(sources, '+') AS sources, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM merged")
 def k11_merged(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(interactions(spark, d)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 5).alias("total"), F.sum(F.size("sources")).alias("sources"))
+    return _merged(interactions(spark, d)).select("query_id", "item_id", F.concat_ws("+", "sources").alias("sources"), F.round("score", 6).alias("score"), "rank")
 
 
 _METRIC = """n AS (SELECT query_id, count(*) AS n FROM truth GROUP BY 1), l AS (SELECT query_id, count(*) AS len FROM lists GROUP BY 1),
@@ -180,35 +200,58 @@ def k17_category_quota(spark: SparkSession, d: str) -> DataFrame:
     return K.per_category(p.join(cats, "item_id"), "c", 1, 5).select("query_id", "item_id", "rank")
 
 
-@R.add(f"WITH {_POP}, ranked AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS k FROM pop ORDER BY k LIMIT 10), own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, item_id) AS k FROM (SELECT user_id AS query_id, item_id, count(*) AS n FROM known WHERE weight > 45 GROUP BY ALL)) WHERE k <= 5), f AS (SELECT query_id, item_id, 0 AS s, k FROM own UNION ALL SELECT q.query_id, r.item_id, 1, r.k FROM q, ranked r WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = q.query_id AND o.item_id = r.item_id)), x AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, k) AS INT) AS rank FROM f) SELECT * FROM x WHERE rank <= 5")
+@R.add(f"WITH {_POP}, ranked AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS k FROM pop ORDER BY k LIMIT 10), own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, item_id) AS k FROM (SELECT user_id AS query_id, item_id, count(*) AS n FROM known GROUP BY ALL)) WHERE k <= 5), f AS (SELECT query_id, item_id, 0 AS s, k FROM own UNION ALL SELECT q.query_id, r.item_id, 1, r.k FROM q, ranked r WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = q.query_id AND o.item_id = r.item_id)), x AS (SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, k) AS INT) AS rank FROM f) SELECT * FROM x WHERE rank <= 5")
 def f7_padded(spark: SparkSession, d: str) -> DataFrame:
     i = interactions(spark, d)
-    own = i.where(f"ts <= TIMESTAMP '{CUT}' AND weight > 45").groupBy(F.col("user_id").alias("query_id"), "item_id").agg(F.count(F.lit(1)).alias("score"))
+    own = C.until(i, CUT).groupBy(F.col("user_id").alias("query_id"), "item_id").agg(F.count(F.lit(1)).alias("score"))
     return K.padded(own, _queries(i), C.popularity(i, CUT), 5)
 
 
-@R.add(None)
+_WITH_CATS = "cats AS (SELECT item_id, min(lower(trim(category))) AS c FROM tiny_items GROUP BY 1), p AS (SELECT query_id, item_id, max(score) AS score FROM tiny_predictions WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL), j AS (SELECT p.*, c FROM p JOIN cats USING (item_id))"
+
+
+@R.add(f"WITH {_WITH_CATS}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, c ORDER BY score DESC, item_id) AS k FROM j), g AS (SELECT *, CAST(0.5 AS DOUBLE) * score - CASE WHEN k > 1 THEN CAST(0.5 AS DOUBLE) ELSE 0 END AS gain FROM f), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, score DESC, item_id) AS INT) AS rank FROM g) SELECT query_id, item_id, rank FROM r WHERE rank <= 5")
 def k14_mmr(spark: SparkSession, d: str) -> DataFrame:
     cats = table(spark, d, "tiny_items").groupBy("item_id").agg(F.min(F.lower(F.trim("category"))).alias("c"))
     p = table(spark, d, "tiny_predictions").where("score IS NOT NULL AND NOT isnan(score)").groupBy("query_id", "item_id").agg(F.max("score").alias("score"))
-    return K.mmr(K.best(p.join(cats, "item_id"), "query_id", "score", "item_id", 100), 5, 0.5, category="c")
+    return K.mmr_by_category(p.join(cats, "item_id"), "c", 5, 0.5).select("query_id", "item_id", "rank")
 
 
-@R.add(None)
+def _walk_sql(rounds: int) -> str:
+    out = f"""{_Q}, {_hist("hist")}, raw AS (SELECT session_id, item_id, row_number() OVER () AS r FROM known),
+ g AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n FROM raw x JOIN raw y ON x.session_id = y.session_id AND x.r <> y.r GROUP BY ALL), step AS (SELECT a AS item_i, b AS item_j, n / sum(n) OVER (PARTITION BY a) AS p FROM g),
+ s0 AS (SELECT query_id, item_id, sum(1 / n) AS s FROM (SELECT query_id, item_id, count(*) OVER (PARTITION BY query_id) AS n FROM hist WHERE pos < 5) GROUP BY ALL)"""
+    for k in range(1, rounds + 1):
+        out += f", s{k} AS (SELECT query_id, item_id, sum(s) AS s FROM (SELECT query_id, item_j AS item_id, 0.85 * s * p AS s FROM s{k - 1} JOIN step ON item_i = item_id UNION ALL SELECT query_id, item_id, 0.15 * s FROM s0) GROUP BY ALL)"
+    return out
+
+
+@R.add(f"WITH {_walk_sql(10)}, r AS (SELECT query_id, item_id, round(s, 9) AS score FROM s10), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM r) SELECT query_id, item_id, rank, round(score, 6) AS score FROM k WHERE rank <= 20")
 def k6_walks(spark: SparkSession, d: str) -> DataFrame:
     i = interactions(spark, d)
     seeds = C.history(i, _queries(i), 5).select("query_id", "item_id")
-    return K.best(C.personalised_rank(C.covisit_edges(i, CUT, neighbours=None, places=None), seeds), "query_id", "score", "item_id", 20)
+    walks = C.personalised_rank(C.covisit_edges(i, CUT, min_weight=0, neighbours=None, window_days=None), seeds)
+    return K.best(walks.withColumn("score", F.round("score", 9)), "query_id", "score", "item_id", 20).withColumn("score", F.round("score", 6))
 
 
-@R.add(None)
+@R.add("SELECT count(DISTINCT o_custkey) AS queries, 0::BIGINT AS short, 0::BIGINT AS positives, 0::BIGINT AS repeats FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def g5_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled negatives, counted: queries, those with fewer than five, positives among them, repeats."""
     i = interactions(spark, d)
     items = i.groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return C.sampled_negatives(i.select(F.col("user_id").alias("query_id"), "item_id"), items, 5)
+    own = i.select(F.col("user_id").alias("query_id"), "item_id")
+    drawn = C.sampled_negatives(own, items, 5).groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    marked = drawn.join(own.distinct().withColumn("own", F.lit(1)), ["query_id", "item_id"], "left")
+    per = marked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("own").alias("own"), F.count_if(F.col("n") > 1).alias("twice"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("n") < 5).alias("short"), F.sum("own").alias("positives"), F.sum("twice").alias("repeats"))
 
 
-@R.add(None)
+@R.add(f"WITH {_TOPPOP}, {_METRIC} SELECT round(avg(recall), 6) AS mean, true AS inside, true AS narrow FROM m")
 def l11_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """The mean, whether its 5 to 95 % interval holds it, and whether that is within four standard errors to a side."""
     i = interactions(spark, d)
-    return K.bootstrap_interval(K.query_metrics(_truth(i), _pop_lists(i), 20), "recall")
+    m = K.query_metrics(_truth(i), _pop_lists(i), 20)
+    low, high = K.bootstrap_interval(m, "recall").first()
+    error = 4 * F.stddev_samp("recall") / F.sqrt(F.count(F.lit(1)))
+    mean = F.avg("recall")
+    return m.agg(F.round(mean, 6).alias("mean"), ((F.lit(low) <= mean) & (mean <= F.lit(high))).alias("inside"), ((mean - low <= error) & (high - mean <= error)).alias("narrow"))

@@ -19,7 +19,7 @@ def test_metrics_of_a_hit_at_the_top(spark):
 
 def test_mmr_takes_two_categories(spark):
     df = spark.createDataFrame([("q", "a", 0.9, "c1"), ("q", "b", 0.85, "c1"), ("q", "c", 0.8, "c2")], "query_id string, item_id string, score double, cat string")
-    assert [r.item_id for r in K.mmr(df, 2, 0.5, category="cat").orderBy("rank").collect()] == ["a", "c"]
+    assert [r.item_id for r in K.mmr_by_category(df, "cat", 2, 0.5).orderBy("rank").collect()] == ["a", "c"]
 
 
 def test_padding_reaches_k(spark):
