@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.leaks import leaked_passages
+from millrace.llm.leaks import leaked_passages, short_tests, without_leaks
 from millrace.llm.mix import mixed
 from millrace.llm.shared import shared_pairs, shared_shares, shared_stretches
-from millrace.llm.splits import deal_splits, tied_records
+from millrace.llm.splits import attached, deal_splits, tied_records
 from millrace.llm.together import items_together
 from millrace.llm.topn import top_n
+from millrace.session import cut
 from millrace.sources.tables import table
 
 
@@ -52,10 +53,24 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     rows = queries_.select(F.lit("tiny_queries").alias("src"), "query_id", F.lit(None).cast("string").alias("item_id"), "record")
     rows = rows.unionAll(ranker.select(F.lit("ranker_x_train").alias("src"), "query_id", "item_id", "record"))
     records = rows.groupBy("record").agg(F.count(F.lit(1)).alias("n")).join(tied, "record", "left")
-    records = records.withColumn("root", F.coalesce("root", F.concat(F.lit("="), "record")))
+    records = cut(records.withColumn("root", F.coalesce("root", F.concat(F.lit("="), "record"))))
     groups = records.groupBy("root").agg(F.sum("n").alias("n"))
-    splits = deal_splits(groups, "root", "n", SHARES)
-    return rows.join(records.join(splits, "root").select("record", "split"), "record").select("src", "query_id", "item_id", "split")
+    splits = deal_splits(groups, "root", "n", SHARES).withColumnRenamed("root", "__root")
+    count = records.count()
+    dealt = attached(records, "root", splits, "__root", count).select(F.col("record").alias("__record"), "split")
+    return rows.join(dealt, F.col("record") == F.col("__record")).select("src", "query_id", "item_id", "split")
+
+
+def p3_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of p3_splits, query ids and tied groups in more than one split, and whether every split is within a point
+    of its share."""
+    rows = cut(p3_splits(spark, d).withColumn("record", F.lower(F.btrim("query_id"))))
+    torn = lambda df, key, name: df.groupBy(key).agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias(name))
+    own = rows.where("src = 'tiny_queries'").select(F.col("query_id").alias("q"), "split")
+    groups = own.join(p3_found(spark, d), F.col("q") == F.col("query_id")).select("lead_id", "split")
+    near = [F.abs(F.count_if(F.col("split") == k) / F.count(F.lit(1)) - x) < 0.01 for k, x in SHARES.items()]
+    out = rows.agg(F.count(F.lit(1)).alias("rows"), (near[0] & near[1] & near[2]).alias("near"))
+    return out.crossJoin(torn(rows.where("record <> ''"), "record", "torn_records")).crossJoin(torn(groups, "lead_id", "torn_groups"))  # one row each
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +103,16 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
+def p8_short_tests(spark: SparkSession, d: str) -> DataFrame:
+    return short_tests(table(spark, d, "eval_items"), test_id="test_id", test_text="text")
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with their leaked spans cut out, by id and digest of the text."""
+    clean = without_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), doc_id="doc_id", text="text", test_id="test_id", test_text="text")
+    return clean.select("doc_id", F.md5("text").alias("digest"))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixed(
         table(spark, d, "documents"), table(spark, d, "mix_targets"), doc_id="doc_id", text="text", source="source",
@@ -103,6 +128,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """The mix checked: blocks used too often, slots filled twice, blocks over 1024 tokens or of another length than
+    reported, and whether every source that is not used up is within 1.5 points of its target."""
+    mix, shares = _mix(spark, d)
+    mix = cut(mix.select("shard", "slot", "source", "block", "n_tokens", F.size("tokens").alias("size")))
+    most = shares.select(F.col("source").alias("s"), "max_repeats")
+    blocks = mix.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).join(most, F.col("source") == F.col("s")).agg(F.count_if(F.col("n") > F.col("max_repeats")).alias("over_repeats"))
+    slots = mix.groupBy("shard", "slot").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_slots"))
+    sizes = mix.agg(F.count_if((F.col("n_tokens") > 1024) | (F.col("n_tokens") != F.col("size"))).alias("wrong_sizes"))
+    left = F.col("mix_tokens") < F.col("available_tokens") * F.col("max_repeats")
+    near = shares.agg(F.coalesce(F.bool_and(F.when(left, F.abs(F.col("actual_share") - F.col("target_share")) < 0.015)), F.lit(True)).alias("near"))
+    return blocks.crossJoin(slots).crossJoin(sizes).crossJoin(near)  # one row each
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -116,7 +155,11 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_splits, p4_found, p4_pairs, p6_found, p6_top5, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_stretches, p10_shares)}
+    own = (
+        p3_found, p3_splits, p3_checks, p4_found, p4_pairs, p6_found, p6_top5, p8_found, p8_passages, p8_short_tests, p8_cleaned,
+        p9_mix, p9_shares, p9_checks, p10_found, p10_stretches, p10_shares,
+    )
+    return {f.__name__: f for f in own}
 
 
 _SETS = """WITH r AS (SELECT DISTINCT session_id AS s, item_id AS i FROM tiny_interactions WHERE session_id IS NOT NULL AND item_id IS NOT NULL),
@@ -138,8 +181,32 @@ _GRAMS = """WITH t AS (SELECT id, list_transform(regexp_extract_all(nfc_normaliz
  g AS (SELECT DISTINCT id, side, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM t WHERE len(w) >= 12)"""
 
 
+_PLACES = """WITH t AS (SELECT id, list_transform(regexp_extract_all(nfc_normalize(text), '[\\p{L}\\p{N}]+'), lambda x: lower(x)) AS w, side FROM
+  (SELECT DISTINCT test_id AS id, text, 't' AS side FROM eval_items UNION ALL SELECT doc_id, text, 'd' FROM documents) WHERE id IS NOT NULL),
+ g AS (SELECT DISTINCT id, side, p, array_to_string(w[p + 1:p + 12], ' ') AS g FROM (SELECT id, side, w, unnest(range(0, len(w) - 11)) AS p FROM t WHERE len(w) >= 12)),
+ hits AS (SELECT DISTINCT a.id AS test_id, b.id AS doc_id, b.p FROM g a JOIN g b ON a.side = 't' AND b.side = 'd' AND a.g = b.g)"""
+_WINDOWS = """WITH w AS (SELECT id, CAST(i - 1 AS INT) AS pos, substr(text, i, 300) AS s FROM (SELECT DISTINCT doc_id AS id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300 AND doc_id IS NOT NULL)),
+ f AS (SELECT s, id, min(pos) AS pos FROM w GROUP BY ALL), c AS (SELECT s, min(id) AS lo, arg_min(pos, id) AS lop, max(id) AS hi, arg_max(pos, id) AS hip FROM f GROUP BY s HAVING min(id) < max(id)),
+ m AS (SELECT w.id, w.pos, CASE WHEN w.id = lo THEN hi ELSE lo END AS oid, CASE WHEN w.id = lo THEN hip ELSE lop END AS opos FROM w JOIN c USING (s)),
+ n AS (SELECT *, CASE WHEN pos = lag(pos) OVER v + 1 AND oid = lag(oid) OVER v AND opos = lag(opos) OVER v + 1 THEN 0 ELSE 1 END AS new FROM m WINDOW v AS (PARTITION BY id ORDER BY pos)),
+ k AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY pos) AS no FROM n),
+ st AS (SELECT id AS doc_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) - min(pos) + 300 AS INT) AS length, any_value(oid) AS other_id, CAST(min(opos) AS INT) AS other_start FROM k GROUP BY id, no)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_checks": "SELECT (SELECT count(*) FROM tiny_queries) + (SELECT count(*) FROM ranker_x_train) AS rows, true AS near, 0::BIGINT AS torn_records, 0::BIGINT AS torn_groups",
+        "p8_passages": f"{_PLACES}, n AS (SELECT *, CASE WHEN p <= lag(p) OVER v + 12 THEN 0 ELSE 1 END AS new FROM hits WINDOW v AS (PARTITION BY test_id, doc_id ORDER BY p)), k AS (SELECT *, sum(new) OVER (PARTITION BY test_id, doc_id ORDER BY p) AS no FROM n) SELECT test_id, doc_id, min(p) AS first_word, max(p) - min(p) + 12 AS n_words FROM k GROUP BY test_id, doc_id, no",
+        "p8_short_tests": "SELECT test_id, n AS n_words FROM (SELECT DISTINCT test_id, text, len(coalesce(regexp_extract_all(nfc_normalize(text), '[\\p{L}\\p{N}]+'), [])) AS n FROM eval_items WHERE test_id IS NOT NULL) WHERE n < 12",
+        "p8_cleaned": f"""{_PLACES}, leaked AS (SELECT doc_id, regexp_extract_all(nfc_normalize(text), '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+') AS x FROM documents WHERE doc_id IN (SELECT doc_id FROM hits)),
+ pieces AS (SELECT doc_id, i, x[i] AS piece, CASE WHEN regexp_full_match(x[i], '[\\p{{L}}\\p{{N}}]+') THEN 1 ELSE 0 END AS word FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM leaked)),
+ numbered AS (SELECT *, sum(word) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM pieces),
+ kept AS (SELECT * FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = n.doc_id AND h.p <= n.k AND n.k <= h.p + 10 + n.word)),
+ cleaned AS (SELECT doc_id, string_agg(piece, '' ORDER BY i) AS t FROM kept GROUP BY 1)
+ SELECT d.doc_id, md5(CASE WHEN l.doc_id IS NULL THEN text ELSE coalesce(t, '') END) AS digest FROM documents d LEFT JOIN leaked l ON l.doc_id = d.doc_id LEFT JOIN cleaned c ON c.doc_id = d.doc_id""",
+        "p9_checks": "SELECT 0::BIGINT AS over_repeats, 0::BIGINT AS repeated_slots, 0::BIGINT AS wrong_sizes, true AS near",
+        "p10_stretches": f"{_WINDOWS} SELECT * FROM st",
+        "p10_shares": f"{_WINDOWS}, cov AS (SELECT id, 300 + sum(coalesce(least(300, gap), 0)) AS c FROM (SELECT id, pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) AS gap FROM m) GROUP BY id), cnt AS (SELECT doc_id, count(*) AS n FROM st GROUP BY 1) SELECT d.doc_id, CAST(length(text) AS INT) AS chars, coalesce(n, 0) AS stretches, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(c, 0) / length(text) AS share FROM documents d LEFT JOIN cov ON cov.id = d.doc_id LEFT JOIN cnt ON cnt.doc_id = d.doc_id WHERE length(text) > 0",
         "p3_found": f"{_TIES} SELECT s AS query_id, min(v) AS lead_id FROM r GROUP BY s HAVING count(*) > 1",
         "p8_found": f"{_GRAMS} SELECT DISTINCT a.id AS test_id, b.id AS doc_id FROM g a JOIN g b ON a.side = 't' AND b.side = 'd' AND a.g = b.g",
         "p10_found": "WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",
