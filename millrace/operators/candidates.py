@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranking import best
+from millrace.operators.timeline import history as history
 from millrace.session import cut
 
 DAY_US = 86_400_000_000
@@ -50,23 +51,6 @@ def top_for_all(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     return queries.select("query_id", F.explode(top).alias("x")).select("query_id", "x.item_id", (-F.col("x.s")).alias("score"))
 
 
-def history(log: DataFrame, queries: DataFrame, last: int, scope: str = "user_id", order: Sequence[str] = ("line", "item_id")) -> DataFrame:
-    """query_id, item_id, pos: the last events of each query's scope up to ts_query, repeats included, pos 0 the
-    latest; events of one moment in the order of the columns named. Events and queries are united and numbered along
-    each scope; a query then meets its events by scope and number, so that any number of queries of one scope each
-    bring `last` rows and no more."""
-    ev = log.where(F.col(scope).isNotNull() & F.col("ts").isNotNull() & F.col("item_id").isNotNull())
-    ev = ev.select(F.col(scope).alias("s"), F.unix_micros("ts").alias("us"), F.lit(0).alias("side"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "item_id")
-    kinds = dict(ev.dtypes)
-    empty = [F.lit(None).cast(kinds[c]).alias(c) for c in ev.columns[3:]]
-    asked = queries.where(F.col(scope).isNotNull() & F.col("ts_query").isNotNull()).select(F.col(scope).cast(kinds["s"]).alias("s"), F.unix_micros("ts_query").alias("us"), F.lit(1).alias("side"), *empty, "query_id")
-    both = ev.withColumn("query_id", F.lit(None).cast(dict(asked.dtypes)["query_id"])).unionByName(asked)
-    w = Window.partitionBy("s").orderBy("us", "side", *[f"o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = cut(both.withColumn("k", F.sum(1 - F.col("side")).over(w)).select("s", "side", "k", "item_id", "query_id"))
-    back = numbered.where("side = 1 AND k > 0").select("s", "query_id", F.posexplode(F.sequence("k", F.greatest(F.col("k") - last + 1, F.lit(1)), F.lit(-1).cast("long"))).alias("pos", "k"))
-    return back.join(numbered.where("side = 0").select("s", "k", "item_id"), ["s", "k"]).select("query_id", "item_id", "pos")
-
-
 def paired(rows: DataFrame, scope: str, values: Sequence[str], block: int = 512) -> DataFrame:
     """Every unordered pair of rows of one scope: each value as {value}_a and {value}_b. Scopes of more than `block`
     rows are cut in blocks that meet in different tasks."""

@@ -14,11 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def finite(c: str | Column) -> Column:
-    """The number, or null for NaN and infinities."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+from millrace.functions.numbers import finite
+from millrace.operators.quality import grouped_quantiles, long_form, quantiles, running_counts
 
 
 @dataclass
@@ -29,12 +26,10 @@ class NumericFit:
 
     @classmethod
     def of(cls, df: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.01, 0.25, 0.5, 0.75, 0.99)) -> NumericFit:
-        aggs = []
-        for c in columns:
-            x = finite(c)
-            aggs.append(F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.array(*[F.lit(q) for q in quantiles])).alias("q")).alias(c))
-        row = df.agg(*aggs).first()
-        return cls({c: row[c].asDict() | dict(zip([f"q{q:g}" for q in quantiles], row[c]["q"] or [None] * len(quantiles))) for c in columns})
+        long = long_form(df, columns)
+        stats = long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+        rows = stats.join(grouped_quantiles(long, "feature", "x", quantiles), "feature", "left").collect()  # a row for each column
+        return cls({r.feature: {k: r[k] for k in ("mean", "std", "min", "max")} | dict(zip([f"q{q:g}" for q in quantiles], r.q or [None] * len(quantiles))) for r in rows})
 
     def standard(self, c: str) -> Column:
         s = self.stats[c]
@@ -69,8 +64,7 @@ class NumericFit:
 
 
 def quantile_edges(df: DataFrame, c: str, bins: int) -> list[float]:
-    edges = df.agg(F.array_distinct(F.percentile(finite(c), F.array(*[F.lit(i / bins) for i in range(bins + 1)])))).first()[0]
-    return edges or []
+    return list(dict.fromkeys(quantiles(df, finite(c), [i / bins for i in range(bins + 1)])))
 
 
 def quantile_bin(c: str, edges: Sequence[float]) -> Column:
@@ -93,6 +87,81 @@ def box_cox(df: DataFrame, c: str, low: float = -2.0, high: float = 2.0, steps:
     return best, form(best)
 
 
+def yeo_johnson(df: DataFrame, c: str, low: float = -2.0, high: float = 2.0, steps: int = 41) -> tuple[float, Column]:
+    """lambda of greatest likelihood on a grid, in one aggregate pass, and the transformed column, of any finite
+    numbers."""
+    x = finite(c)
+    grid = [low + (high - low) * i / (steps - 1) for i in range(steps)]
+
+    def form(g: float) -> Column:
+        up = F.log(x + 1) if abs(g) < 1e-9 else (F.pow(x + 1, F.lit(g)) - 1) / g
+        down = -F.log(1 - x) if abs(g - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - g)) - 1) / (2 - g)
+        return F.when(x >= 0, up).when(x < 0, down)
+
+    row = df.agg(F.count(x).alias("n"), F.sum(F.signum(x) * F.log(F.abs(x) + 1)).alias("l"), *[F.var_pop(form(g)).alias(f"v{i}") for i, g in enumerate(grid)]).first()
+    like = [-row["n"] / 2 * math.log(max(row[f"v{i}"] or 0, 1e-300)) + (g - 1) * (row["l"] or 0) for i, g in enumerate(grid)]
+    best = grid[like.index(max(like))]
+    return best, form(best)
+
+
+def null_flags(columns: Sequence[str]) -> dict[str, Column]:
+    """0/1 columns of what is null."""
+    return {f"{c}_null": F.col(c).isNull().cast("int") for c in columns}
+
+
+def value_flag(c: str, value: object) -> Column:
+    """1 where the column equals a value, 0 elsewhere and for null."""
+    return F.coalesce(F.col(c) == F.lit(value), F.lit(False)).cast("int")
+
+
+def ordinal_encoded(df: DataFrame, train: DataFrame, c: str, unknown: int = -1) -> DataFrame:
+    """df with {c}_code: the place, from 0, of the value among train's in their order; unseen values and null: unknown."""
+    values = train.select(c).where(F.col(c).isNotNull()).distinct().withColumn("n", F.lit(1).cast("long"))
+    codes = running_counts(values, c, ["n"]).select(F.col(c).alias("__v"), (F.col("cum_n") - 1).alias(f"{c}_code"))
+    return df.join(codes, F.col(c) == F.col("__v"), "left").drop("__v").fillna(unknown, [f"{c}_code"])
+
+
+def tree_edges(df: DataFrame, c: str, y: str, bins: int, grid: int = 256) -> list[float]:
+    """Up to bins - 1 edges of a number that lower the squared error of a target most, one after the other. Only the
+    sums of the target in `grid` quantile cells, from one pass, decide: a regression tree of one feature on them."""
+    cells = list(dict.fromkeys(quantiles(df, finite(c), [i / grid for i in range(1, grid)])))
+    place = F.size(F.filter(F.array(*[F.lit(e) for e in cells]), lambda v: v < finite(c))) if cells else F.lit(0)
+    rows = df.where(finite(c).isNotNull() & F.col(y).isNotNull()).groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("s")).collect()  # at most `grid` rows
+    n, total = [0] * (len(cells) + 1), [0.0] * (len(cells) + 1)
+    for r in rows:
+        n[r.k], total[r.k] = r.n, r.s
+    square = lambda a, b: sum(total[a:b]) ** 2 / sum(n[a:b]) if sum(n[a:b]) else 0.0
+    parts = [(0, len(n))]
+    while len(parts) < bins:
+        gains = [(square(a, m) + square(m, b) - square(a, b), a, m, b) for a, b in parts for m in range(a + 1, b) if sum(n[a:m]) and sum(n[m:b])]
+        if not gains or max(gains)[0] <= 1e-12:
+            break
+        _, a, m, b = max(gains)
+        parts.remove((a, b))
+        parts += [(a, m), (m, b)]
+    return sorted(cells[a - 1] for a, _ in parts if a)
+
+
+def _numbered(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """df with `__at`, the place from 1 of a row in its label in the order of a seeded hash, and `__all`, its rows."""
+    rows = df.withColumn("__v", F.struct(F.col(label), F.xxhash64(key, F.lit(seed)), F.col(key)))
+    n = running_counts(rows.groupBy("__v").agg(F.count(F.lit(1)).alias("__n")), "__v", ["__n"])
+    per = n.groupBy(F.col(f"__v.{label}").alias("__l")).agg(F.sum("__n").alias("__all"), F.min(F.col("cum___n") - F.col("__n")).alias("__base"))
+    place = n.join(per, F.col(f"__v.{label}").eqNullSafe(F.col("__l"))).select(F.col("__v").alias("__w"), (F.col("cum___n") - F.col("__base")).alias("__at"), "__all")
+    return rows.join(place, F.col("__v") == F.col("__w")).drop("__v", "__w")
+
+
+def stratified_sample(df: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
+    """The first rows of each label in a hashed order: the share of its rows, rounded up. Keys must be distinct."""
+    return _numbered(df, label, key, seed).where(F.col("__at") <= F.ceil(F.col("__all") * share)).drop("__at", "__all")
+
+
+def balanced(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
+    """As many rows of each label as the least frequent has, the first in a hashed order. Keys must be distinct."""
+    least = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
+    return _numbered(df, label, key, seed).where(F.col("__at") <= least).drop("__at", "__all")
+
+
 def value_counts(df: DataFrame, c: str) -> DataFrame:
     """value (null too), n, share."""
     n = df.groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -158,11 +227,14 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """mean, std, median, min, max, sum, n, distinct and bias-corrected skew and kurtosis of a group's values."""
     n, m = F.count(value).cast("double"), F.skewness(value)
     k = F.kurtosis(value)
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"),
+    named = df.withColumn("__g", F.struct(*keys))
+    middle = grouped_quantiles(named, "__g", value, [0.5]).select("__g", F.col("q")[0].alias("median"))
+    stats = df.groupBy(*keys).agg(
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"),
         F.count(value).alias("n"), F.count_distinct(value).alias("distinct"), F.when(n > 2, m * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, ((n + 1) * k + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"),
     )
+    return stats.withColumn("__k", F.struct(*keys)).join(middle, F.col("__k").eqNullSafe(F.col("__g")), "left").drop("__k", "__g")
 
 
 def number_pairs(columns: Sequence[str], ops: Sequence[str] = ("add", "sub", "mul", "div"), eps: float = 1e-6) -> dict[str, Column]:

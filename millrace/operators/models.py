@@ -6,13 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.quality import domains, ranking_quality
+from millrace.operators.retrieval import dense
 from millrace.session import cut
 
 
@@ -58,9 +60,42 @@ def components(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def factor_candidates(log: DataFrame, queries: DataFrame, k: int, rank: int = 16, seed: int = 0) -> DataFrame:
-    """query_id, item_id, score of implicit-feedback factors; ids must be integers. Unknown users have none."""
-    counts = cut(log.groupBy(F.col("user_id").cast("int").alias("u"), F.col("item_id").cast("int").alias("i")).agg(F.count(F.lit(1)).cast("float").alias("r")))
-    model = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=rank, maxIter=5, seed=seed, coldStartStrategy="drop").fit(counts)
-    recs = model.recommendForUserSubset(queries.select(F.col("user_id").cast("int").alias("u"), "query_id"), k)
-    own = queries.select(F.col("user_id").cast("int").alias("u"), "query_id")
-    return recs.join(own, "u").select("query_id", F.explode("recommendations").alias("x")).select("query_id", F.col("x.i").alias("item_id"), F.col("x.rating").alias("score"))
+    """query_id, item_id, score of implicit-feedback factors; ids of any type, numbered here. Unknown users have none."""
+    numbers = {c: cut(log.select(c).where(F.col(c).isNotNull()).distinct().withColumn("__n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(c), F.lit(1024))).orderBy(c))).withColumn("__b", F.pmod(F.xxhash64(c), F.lit(1024)))) for c in ("user_id", "item_id")}
+    for c, t in numbers.items():
+        per = t.groupBy("__b").agg(F.max("__n").alias("m"))
+        ahead = per.select("__b", F.coalesce(F.sum("m").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("a"))  # 1024 rows
+        numbers[c] = cut(t.join(F.broadcast(ahead), "__b").select(c, (F.col("a") + F.col("__n")).cast("int").alias(c[0])))
+    counts = log.join(numbers["user_id"], "user_id").join(numbers["item_id"], "item_id").groupBy("u", "i").agg(F.count(F.lit(1)).cast("float").alias("r"))
+    model = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=rank, maxIter=5, seed=seed, coldStartStrategy="drop").fit(cut(counts))
+    own = queries.select("user_id", "query_id").join(numbers["user_id"], "user_id")
+    recs = model.recommendForUserSubset(own.select("u").distinct(), k).join(own.select("u", "query_id"), "u")
+    return recs.select("query_id", F.explode("recommendations").alias("x")).select("query_id", F.col("x.i").alias("i"), F.col("x.rating").alias("score")).join(numbers["item_id"], "i").select("query_id", "item_id", "score")
+
+
+def item_vectors(log: DataFrame, scope: str, size: int = 32, window: int = 5, piece: int = 1000, seed: int = 0) -> DataFrame:
+    """item_id (as text), vector: skip-gram vectors of items from the sequences of each scope, which are cut in pieces of
+    `piece` events, so that no row holds a whole long one."""
+    w = Window.partitionBy(scope).orderBy("ts", "line", "item_id")
+    known = log.where(F.col(scope).isNotNull() & F.col("item_id").isNotNull()).withColumn("__k", F.row_number().over(w) - 1)
+    lists = known.groupBy(scope, F.floor(F.col("__k") / piece).alias("__p")).agg(F.sort_array(F.collect_list(F.struct("__k", F.col("item_id").cast("string").alias("i")))).alias("x"))
+    sentences = cut(lists.select(F.transform("x", lambda s: s["i"]).alias("words")))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=1, numPartitions=sentences.rdd.getNumPartitions(), seed=seed, inputCol="words", outputCol="__o").fit(sentences)
+    return model.getVectors().select(F.col("word").alias("item_id"), vector_to_array("vector").alias("vector"))
+
+
+def vector_candidates(hist: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, item_id (as text), score: the k items of greatest cosine with the mean vector of a query's history."""
+    met = hist.select("query_id", F.col("item_id").cast("string").alias("item_id")).join(vectors, "item_id")
+    parts = met.select("query_id", F.posexplode("vector").alias("i", "x")).groupBy("query_id", "i").agg(F.avg("x").alias("x"))
+    mean = parts.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
+    found = dense(vectors.select(F.col("item_id").alias("doc"), "vector"), cut(mean.select(F.col("query_id").alias("query"), "vector")), k)
+    return found.select(F.col("query").alias("query_id"), F.col("doc").alias("item_id"), "score")
+
+
+def adversarial_auc(train: DataFrame, test: DataFrame, key: str, features: Sequence[str], folds: int = 3, model: str = "trees") -> float:
+    """Out-of-fold auc of a classifier that tells test rows from train rows: 0.5 where they are alike."""
+    both = domains(train.select(key, *features), test.select(key, *features))
+    both = both.withColumn("fold", F.pmod(F.xxhash64(key, "domain"), F.lit(folds)).cast("int"))
+    scored = cross_validated(both, key, features, "domain", "fold", folds, model)
+    return ranking_quality(scored, "y", "p").first().auc

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.quality import running_counts
 from millrace.operators.ranking import best
+from millrace.session import materialised
 
 
 def char_chunks(docs: DataFrame, doc_id: str, text: str, size: int = 800, overlap: int = 100, least: int = 1) -> DataFrame:
@@ -22,9 +28,23 @@ def char_chunks(docs: DataFrame, doc_id: str, text: str, size: int = 800, overla
 
 
 def paragraph_chunks(docs: DataFrame, doc_id: str, text: str, least: int = 1) -> DataFrame:
-    """doc_id, chunk, text of the stripped parts between blank lines."""
-    parts = docs.select(doc_id, F.posexplode(F.split(F.col(text), "\n\n", -1)).alias("chunk", "text"))
-    return parts.withColumn("text", F.btrim("text", F.lit(" \t\n\r"))).where(F.length("text") >= least)
+    """doc_id, chunk, start, end, text of the stripped parts between blank lines, with their 0-based places."""
+    blanks = F.lit(" \t\n\r")
+    parts = F.split(F.col(text), "\n\n", -1)
+    # the place of a part is the length of those before it, and two characters between each two
+    ends = F.transform(parts, lambda x, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.length(y) + 2))
+    rows = docs.where(F.col(text).isNotNull()).select(doc_id, F.posexplode(F.arrays_zip(parts.alias("part"), ends.alias("at"))).alias("chunk", "x"))
+    rows = rows.select(doc_id, "chunk", F.col("x.part").alias("part"), F.col("x.at").alias("at"))
+    head = F.length("part") - F.length(F.ltrim(F.col("part"), blanks))
+    rows = rows.select(doc_id, "chunk", (F.col("at") + head).alias("start"), F.btrim("part", blanks).alias("text"))
+    return rows.where(F.length("text") >= least).select(doc_id, "chunk", "start", (F.col("start") + F.length("text")).alias("end"), "text")
+
+
+def numbered_chunks(chunks: DataFrame, doc_id: str) -> DataFrame:
+    """chunks with chunk_idx, a number from 0 over all documents, by document, then chunk."""
+    keys = chunks.select(F.struct(doc_id, "chunk").alias("__v"), F.lit(1).cast("long").alias("__n"))
+    numbers = running_counts(keys, "__v", ["__n"]).select(F.col(f"__v.{doc_id}").alias("__d"), F.col("__v.chunk").alias("__c"), (F.col("cum___n") - 1).alias("chunk_idx"))
+    return chunks.join(numbers, (F.col(doc_id) == F.col("__d")) & (F.col("chunk") == F.col("__c"))).drop("__d", "__c")
 
 
 def word_chunks(docs: DataFrame, doc_id: str, text: str, size: int = 256, overlap: int = 32) -> DataFrame:
@@ -51,27 +71,35 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def bm25(index: DataFrame, queries: DataFrame, query_id: str, text: str, k: int | None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query, doc, score (9 places), rank of the k best documents; a term counts as often as the query has it.
-    Postings meet query terms by an equi-join; frequent terms are split by adaptive execution."""
-    sizes = index.groupBy("doc").agg(F.first("len").alias("len"))
-    n, mean = sizes.agg(F.count(F.lit(1))).scalar(), sizes.agg(F.avg("len")).scalar()
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """query, doc, score (9 places), rank of the k best documents; a term counts as often as the query has it. The
+    postings are materialised once for all that is drawn from them; they meet query terms by an equi-join, frequent
+    terms split by adaptive execution."""
+    index = materialised(index, "postings")
+    sizes = index.groupBy("doc").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")).first()
+    n, mean = F.lit(sizes.n), F.lit(sizes.mean)
     q = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    hits = index.join(q, "term")
+    # only the query's terms need their number of documents
+    df = index.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = q.join(df, "term").select("query", "term", (F.col("qtf") * idf).alias("w"))
-    hits = index.join(weighted, "term")
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    scores = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
+    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    scores = hits.join(df, "term").groupBy("query", "doc").agg(F.round(F.sum(part), 9).alias("score"))
     return scores if k is None else best(scores, "query", "score", "doc", k)
 
 
 def tfidf(index: DataFrame, min_df: int = 1) -> DataFrame:
     """doc, term, w: tf (ln((1 + N) / (1 + df)) + 1), brought to length 1 in each document."""
+    index = materialised(index, "postings")
     n = index.agg(F.count_distinct("doc")).scalar()
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     raw = index.join(df, "term").select("doc", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", (F.col("x") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", (F.col("x") / norm).alias("w"))
+
+
+def content_top(weights: DataFrame, k: int) -> DataFrame:
+    """doc, score: the k documents of the greatest sum of tf-idf weights, the same for every query."""
+    return weights.groupBy("doc").agg(F.round(F.sum("w"), 9).alias("score")).orderBy(F.col("score").desc(), "doc").limit(k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,11 +110,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
 
 
-def dense(index: DataFrame, queries: DataFrame, k: int | None, block: int = 1024, spread: int = 32) -> DataFrame:
+ROWS_A_PART = 20_000
+
+
+def dense(index: DataFrame, queries: DataFrame, k: int | None, block: int = 1024, spread: int | None = None) -> DataFrame:
     """query, doc, score, rank by exact cosine. index: doc, vector; queries: query, vector, a stated set that is
-    met by all vectors: it is cut in blocks of about `block` queries, each beside `spread` parts of the index, so
-    that a task holds one block and one part, and no vector travels more often than there are blocks."""
+    met by all vectors: it is cut in blocks of about `block` queries, each beside `spread` parts of the index (default: of
+    about ROWS_A_PART vectors, 32 at least), so that a task holds one block and one part, and no vector travels more
+    often than there are blocks."""
     blocks = queries.count() // block + 1
+    spread = spread or max(32, index.count() // ROWS_A_PART)
 
     def unit(df: DataFrame, key: str, name: str) -> DataFrame:
         n = df.select(key, "vector", F.greatest(F.sqrt(dot(F.col("vector"), F.col("vector"))), F.lit(1e-12)).alias("n"))
@@ -171,3 +204,40 @@ def neighbour_statistics(index: DataFrame, queries: DataFrame, targets: DataFram
     near = dense(index, queries, k + 1).where("query <> doc").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where(F.col("place") <= k)
     joined = near.join(targets, "doc")
     return joined.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"), F.avg("target").alias("mean_target"), F.stddev_pop("target").alias("std_target"))
+
+
+def encoded(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], np.ndarray], batch: int = 256) -> DataFrame:
+    """key, vector: an encoder over texts, some at a time, in Arrow batches. encode takes a list of texts and gives a
+    matrix; it is sent to the workers once for each task. Rows with a null key or text have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for i in range(0, len(part), batch):
+                own = part.iloc[i : i + batch]
+                yield pd.DataFrame({"k": own["k"].to_numpy(), "vector": list(np.asarray(encode(own["t"].tolist()), float))})
+
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    return rows.mapInPandas(run, f"k {dict(rows.dtypes)['k']}, vector array<double>").withColumnRenamed("k", key)
+
+
+def reranked(hits: DataFrame, queries: DataFrame, docs: DataFrame, predict: Callable[[list[str], list[str]], Sequence[float]], k: int, batch: int = 256) -> DataFrame:
+    """query, doc, score, rank: candidates ordered again by a scorer of (query text, document text), some pairs at a time
+    in Arrow batches. queries: query, text; docs: doc, text; hits: query, doc."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for i in range(0, len(part), batch):
+                own = part.iloc[i : i + batch]
+                yield pd.DataFrame({"query": own["query"], "doc": own["doc"], "score": np.asarray(predict(own["a"].tolist(), own["b"].tolist()), float)})
+
+    pairs = hits.select("query", "doc").join(queries.select("query", F.col("text").alias("a")), "query").join(docs.select("doc", F.col("text").alias("b")), "doc").where("a IS NOT NULL AND b IS NOT NULL")
+    kinds = dict(pairs.dtypes)
+    scored = pairs.select("query", "doc", "a", "b").mapInPandas(run, f"query {kinds['query']}, doc {kinds['doc']}, score double")
+    return best(scored, "query", "score", "doc", k)
+
+
+def stage_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """query, doc, rank_before, rank_after, change (places won), status (kept, new, gone) between two stages of lists."""
+    both = before.select("query", "doc", F.col("rank").alias("rank_before")).join(after.select("query", "doc", F.col("rank").alias("rank_after")), ["query", "doc"], "full")
+    status = F.when(F.col("rank_before").isNull(), "new").when(F.col("rank_after").isNull(), "gone").otherwise("kept")
+    return both.withColumns({"change": F.col("rank_before") - F.col("rank_after"), "status": status})

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.quality import quantiles
+from millrace.session import cut
+
 DAY_US = 86_400_000_000
 
 
@@ -46,8 +49,9 @@ def stratified_fold(df: DataFrame, label: str, key: str, n: int, seed: int = 0)
 def time_blocks(df: DataFrame, us: str, n: int) -> DataFrame:
     """df with `fold`: n blocks of time holding about equally many rows; bounds are exact quantiles of the
     moments, so equal moments share a block."""
-    bounds = df.agg(F.percentile(us, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("q")).scalar()
-    return df.withColumn("q", bounds).withColumn("fold", F.size(F.filter("q", lambda x: x <= F.col(us))).cast("int")).drop("q")
+    bounds = quantiles(df, us, [i / n for i in range(1, n)])
+    fold = sum(((F.col(us) >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    return df.withColumn("fold", fold.cast("int"))
 
 
 def lags(df: DataFrame, group: str, order: Sequence[str], value: str, steps: Sequence[int]) -> DataFrame:
@@ -70,16 +74,36 @@ def trailing_time(df: DataFrame, group: str, us: str, value: str, period_us: int
     return df.withColumns({f"{value}_{s}_{name}": STATS[s](value).over(w) for s in stats})
 
 
-def ewm_mean(df: DataFrame, group: str, order: str, value: str, span: float) -> DataFrame:
-    """Exponentially weighted mean with alpha 2 / (span + 1), not adjusted, the row itself included. A recursion
-    over a whole group: one group must fit a worker; nulls keep the last mean."""
+def fold_history(df: DataFrame, group: str, us: str, key: str, value: str, fold: str, folds: int, embargo_us: int = 0) -> DataFrame:
+    """df with {value}_n, {value}_mean and {value}_last over the rows of the group in other folds whose moment is before
+    the row's own less the embargo: null, and n 0, without one. Sums are those of all folds less the own fold's, in two
+    range frames; the last row of each of the folds (0 to folds - 1) is carried along the first."""
+    until = -(embargo_us + 1)
+    w = Window.partitionBy(group).orderBy(us).rangeBetween(Window.unboundedPreceding, until)
+    own = Window.partitionBy(group, fold).orderBy(us).rangeBetween(Window.unboundedPreceding, until)
+    n, s = (f(value).over(w) - F.coalesce(f(value).over(own), F.lit(0)) for f in (F.count, F.sum))
+    last = {k: F.max(F.when(F.col(fold) == k, F.struct(us, key, value))).over(w) for k in range(folds)}
+    out = df.withColumns({f"{value}_n": n, f"{value}_mean": F.when(n > 0, s / n)} | {f"__l{k}": x for k, x in last.items()})
+    others = [F.when(F.col(fold) != k, F.col(f"__l{k}")) for k in range(folds)]
+    return out.withColumn(f"{value}_last", F.greatest(*others)[value] if folds > 1 else F.lit(None)).drop(*[f"__l{k}" for k in range(folds)])
+
+
+def running_counters(df: DataFrame, actor: str, item: str, order: Sequence[str], us: str) -> DataFrame:
+    """df with so_far (the actor's rows before), gap_days since its last row, and seen (rows of actor and item before)."""
+    w, pair = Window.partitionBy(actor).orderBy(*order), Window.partitionBy(actor, item).orderBy(*order)
+    return df.withColumns({"so_far": F.row_number().over(w).cast("long") - 1, "gap_days": (F.col(us) - F.lag(us).over(w)) / DAY_US, "seen": F.row_number().over(pair).cast("long") - 1})
+
+
+def ewm_mean(df: DataFrame, group: str, order: Sequence[str], value: str, span: float) -> DataFrame:
+    """Exponentially weighted mean with alpha 2 / (span + 1), not adjusted, the row itself included, in the order of the
+    columns named. A recursion over a whole group: one group must fit a worker; nulls keep the last mean."""
     alpha = 2 / (span + 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values(list(order))
         return pdf.assign(ewm=pdf[value].ewm(alpha=alpha, adjust=False).mean())
 
-    narrow = df.select(group, order, value)
+    narrow = df.select(group, *order, value)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema)
     return narrow.groupBy(group).applyInPandas(run, f"{kinds}, ewm double")
 
@@ -117,43 +141,105 @@ def counts_before(queries: DataFrame, events: DataFrame, key: str, query_day: st
     return out.where("__q IS NOT NULL").select("__q.*", *[f"n_{d}d" for d in days])
 
 
+def totals_at(probes: DataFrame, events: DataFrame, key: str, us: str, values: Sequence[str], last: str | None = None) -> DataFrame:
+    """probes with, for each value column, the sum of events' values of the same key at moments not after their own,
+    0 where there is none, and in the column `last` the latest of those events' moments that have `last` true.
+
+    Sums up to a day (in a window over the days of a key) and within a key's day: no task holds more than a day of a
+    key, however frequent it is. Probes with null key or moment keep their row, with zeros and null."""
+    day = lambda c: F.floor(F.col(c) / DAY_US)
+    mark = F.when(F.col(last), F.col(us)) if last else F.lit(None).cast("long")
+    keep = F.struct(*[F.col(c) for c in probes.columns])
+    ev = events.where(F.col(key).isNotNull() & F.col(us).isNotNull()).select(F.col(key).alias("__k"), F.col(us).alias("__t"), F.lit(0).alias("__side"), *[F.col(v).cast("long").alias(f"__{v}") for v in values], mark.alias("__last"))
+    asked = probes.select(F.col(key).alias("__k"), F.col(us).alias("__t"), F.lit(1).alias("__side"), *[F.lit(0).cast("long").alias(f"__{v}") for v in values], F.lit(None).cast("long").alias("__last"), keep.alias("__p"))
+    both = ev.withColumn("__p", F.lit(None).cast(asked.schema["__p"].dataType)).unionByName(asked).withColumn("__d", day("__t"))
+    by_day = both.groupBy("__k", "__d").agg(*[F.sum(f"__{v}").alias(f"__{v}") for v in values], F.max("__last").alias("__last"))
+    before = Window.partitionBy("__k").orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by_day.select(F.col("__k").alias("__k2"), F.col("__d").alias("__d2"), *[F.coalesce(F.sum(f"__{v}").over(before), F.lit(0)).alias(f"__a_{v}") for v in values], F.max("__last").over(before).alias("__a_last"))
+    inside = Window.partitionBy("__k", "__d").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumns({f"__{v}": F.sum(f"__{v}").over(inside) for v in values} | {"__last": F.max("__last").over(inside)}).where("__side = 1")
+    met = run.join(ahead, (F.col("__k") == F.col("__k2")) & (F.col("__d") == F.col("__d2")), "left")
+    known = F.col("__k").isNotNull() & F.col("__t").isNotNull()
+    out = [F.when(known, F.col(f"__{v}") + F.col(f"__a_{v}")).otherwise(F.lit(0)).alias(v) for v in values]
+    if last:
+        out.append(F.when(known, F.coalesce("__last", "__a_last")).alias(last))
+    return met.select("__p.*", *out)
+
+
+def _windowed(pairs: DataFrame, events: DataFrame, key: str, windows: Sequence[int], distinct: str | None = None) -> DataFrame:
+    """pairs (with `q`) and for each window of days count_{d} and, of a column, distinct_{d}, and `last`, of the events
+    (key, t) of their key in [q - d days, q]. A window's count is the difference of two sums; a distinct value is
+    in the window of d days from each of its events on for d days, taken together where these overlap."""
+    ev = events.select(key, "t", F.lit(1).alias("n"), F.lit(True).alias("last"), *[F.lit(0).alias(f"u{d}") for d in windows])
+    if distinct:
+        w = Window.partitionBy(key, distinct).orderBy("t")
+        near = events.where(F.col(distinct).isNotNull()).select(key, distinct, "t").distinct()
+        near = near.withColumns({"b": F.col("t") - F.lag("t").over(w), "a": F.lead("t").over(w) - F.col("t")})
+
+        def at(t: Column, d: int, x: int) -> Column:
+            return F.struct(t.alias("t"), *[F.lit(x if d == e else 0).alias(f"u{e}") for e in windows])
+
+        steps = []
+        for d in windows:
+            steps.append(F.when(F.coalesce(F.col("b") > d * DAY_US, F.lit(True)), at(F.col("t"), d, 1)))
+            steps.append(F.when(F.coalesce(F.col("a") > d * DAY_US, F.lit(True)), at(F.col("t") + (d * DAY_US + 1), d, -1)))
+        moved = near.select(key, F.explode(F.array_compact(F.array(*steps))).alias("x")).select(key, "x.t", F.lit(0).alias("n"), F.lit(False).alias("last"), *[f"x.u{d}" for d in windows])
+        ev = ev.unionByName(moved)
+    asked = pairs.select(key, "q").distinct()
+    at = F.array(F.struct(F.lit(0).alias("d"), F.col("q").alias("t")), *[F.struct(F.lit(d).alias("d"), (F.col("q") - (d * DAY_US + 1)).alias("t")) for d in windows])
+    probes = asked.select(key, "q", F.explode(at).alias("x")).select(key, "q", "x.d", "x.t")
+    got = totals_at(probes, ev, key, "t", ["n", *[f"u{d}" for d in windows]], "last")
+    now = lambda c: F.max(F.when(F.col("d") == 0, F.col(c)))
+    counts = [(now("n") - F.max(F.when(F.col("d") == d, F.col("n")))).alias(f"count_{d}") for d in windows]
+    kinds = [now(f"u{d}").alias(f"distinct_{d}") for d in windows] if distinct else []
+    per = got.groupBy(key, "q").agg(now("last").alias("last"), *counts, *kinds)
+    return pairs.join(per, [key, "q"], "left")
+
+
 def pair_features(pairs: DataFrame, log: DataFrame, windows: Sequence[int] = (7, 30, 90)) -> DataFrame:
     """Features of (query_id, user_id, item_id, ts_query) from log rows with ts <= ts_query only: hours since the
     user's and the item's last event, seen_before, and for each window of days the user's and item's counts and
-    the user's distinct items. The log is joined once by user and once by item, with an equal key and a bound on
-    time, and reduced by conditional aggregates right after."""
+    the user's distinct items. Linear in pairs and events: see totals_at. Repeated pairs are one."""
     p = pairs.select("query_id", "user_id", "item_id", F.unix_micros("ts_query").alias("q")).distinct()
-    ev = log.select(F.col("user_id").alias("u"), F.col("item_id").alias("i"), F.unix_micros("ts").alias("t"))
-    near = lambda d: F.col("t") >= F.col("q") - d * DAY_US
-    key = ["query_id", "user_id", "item_id", "q"]
-    by_user = p.join(ev, (F.col("user_id") == F.col("u")) & (F.col("t") <= F.col("q"))).groupBy(*key).agg(
-        F.round((F.col("q") - F.max("t")) / 3.6e9, 6).alias("recency_user_h"),
-        F.max((F.col("i") == F.col("item_id")).cast("int")).alias("seen_before"),
-        *[F.count_if(near(d)).alias(f"user_count_{d}d") for d in windows],
-        *[F.count_distinct(F.when(near(d), F.col("i"))).alias(f"user_items_{d}d") for d in windows],
-    )
-    # an item's log against distinct (item, moment): popular items are asked for at few moments each
-    asked = p.select("item_id", "q").distinct()
-    by_item = asked.join(ev.select("i", "t"), (F.col("item_id") == F.col("i")) & (F.col("t") <= F.col("q"))).groupBy("item_id", "q").agg(
-        F.round((F.col("q") - F.max("t")) / 3.6e9, 6).alias("recency_item_h"), *[F.count_if(near(d)).alias(f"item_count_{d}d") for d in windows]
-    )
-    out = p.join(by_user, key, "left").join(by_item, ["item_id", "q"], "left")
-    counts = [c for c in out.columns if "_count_" in c or "_items_" in c or c == "seen_before"]
+    ev = log.where("ts IS NOT NULL").select("user_id", "item_id", F.unix_micros("ts").alias("t"))
+    hours = lambda c: F.round((F.col("q") - F.col(c)) / 3.6e9, 6)
+    own = _windowed(p, ev.where("user_id IS NOT NULL"), "user_id", windows, "item_id")
+    own = own.select("query_id", "user_id", "item_id", "q", hours("last").alias("recency_user_h"), *[F.col(f"count_{d}").alias(f"user_count_{d}d") for d in windows], *[F.col(f"distinct_{d}").alias(f"user_items_{d}d") for d in windows])
+    item = _windowed(p.select("item_id", "q").distinct(), ev.where("item_id IS NOT NULL"), "item_id", windows)
+    item = item.select("item_id", "q", hours("last").alias("recency_item_h"), *[F.col(f"count_{d}").alias(f"item_count_{d}d") for d in windows])
+    first = ev.where("user_id IS NOT NULL AND item_id IS NOT NULL").groupBy("user_id", "item_id").agg(F.min("t").alias("first"))
+    out = own.join(first, ["user_id", "item_id"], "left").withColumn("seen_before", F.coalesce((F.col("first") <= F.col("q")).cast("int"), F.lit(0))).drop("first")
+    out = out.join(item, ["item_id", "q"], "left")
+    counts = [c for c in out.columns if "_count_" in c or "_items_" in c]
     return out.fillna(0, counts).drop("q")
 
 
+def history(log: DataFrame, queries: DataFrame, last: int, scope: str = "user_id", order: Sequence[str] = ("line", "item_id")) -> DataFrame:
+    """query_id, item_id, t, pos: the last events of each query's scope up to ts_query, repeats included, pos 0 the
+    latest; events of one moment in the order of the columns named. Events and queries are united and numbered along
+    each scope; a query then meets its events by scope and number, so that any number of queries of one scope each
+    bring `last` rows and no more."""
+    ev = log.where(F.col(scope).isNotNull() & F.col("ts").isNotNull() & F.col("item_id").isNotNull())
+    ev = ev.select(F.col(scope).alias("s"), F.unix_micros("ts").alias("us"), F.lit(0).alias("side"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], "item_id")
+    kinds = dict(ev.dtypes)
+    empty = [F.lit(None).cast(kinds[c]).alias(c) for c in ev.columns[3:]]
+    asked = queries.where(F.col(scope).isNotNull() & F.col("ts_query").isNotNull()).select(F.col(scope).cast(kinds["s"]).alias("s"), F.unix_micros("ts_query").alias("us"), F.lit(1).alias("side"), *empty, "query_id")
+    both = ev.withColumn("query_id", F.lit(None).cast(dict(asked.dtypes)["query_id"])).unionByName(asked)
+    w = Window.partitionBy("s").orderBy("us", "side", *[f"o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = cut(both.withColumn("k", F.sum(1 - F.col("side")).over(w)).select("s", "side", "k", F.col("us").alias("t"), "item_id", "query_id"))
+    back = numbered.where("side = 1 AND k > 0").select("s", "query_id", F.posexplode(F.sequence("k", F.greatest(F.col("k") - last + 1, F.lit(1)), F.lit(-1).cast("long"))).alias("pos", "k"))
+    return back.join(numbered.where("side = 0").select("s", "k", "t", "item_id"), ["s", "k"]).select("query_id", "item_id", "t", "pos")
+
+
 def sequence_features(queries: DataFrame, log: DataFrame, max_len: int = 100, last_k: int = 20) -> DataFrame:
-    """seq_len (up to max_len), mean and sample deviation of the gaps in seconds, and distinct items of the last
-    last_k events, over each query's user up to ts_query; gaps are 0 where there is none."""
-    q = queries.select("query_id", "user_id", F.unix_micros("ts_query").alias("q"))
-    ev = log.select("user_id", "item_id", F.unix_micros("ts").alias("t"), "line")
-    w = Window.partitionBy("query_id").orderBy(F.col("t").desc(), F.col("line").desc(), F.col("item_id").desc())
-    back = q.join(ev, "user_id").where("t <= q").withColumn("k", F.row_number().over(w)).where(F.col("k") <= max_len)
+    """Of the last max_len events of each query's user up to ts_query (see history): seq_len, mean and sample deviation
+    of the gaps in seconds, and the distinct items of the last last_k; gaps are 0 where there is none."""
+    q = queries.select("query_id", "user_id", "ts_query")
+    back = history(log, q, max_len).withColumn("k", F.col("pos") + 1)
+    w = Window.partitionBy("query_id").orderBy("pos")
     gaps = back.withColumn("gap", (F.lag("t").over(w) - F.col("t")) / 1e6)
     out = gaps.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("seq_len"), F.round(F.coalesce(F.avg("gap"), F.lit(0.0)), 3).alias("gap_mean_s"),
         F.round(F.coalesce(F.stddev_samp("gap"), F.lit(0.0)), 3).alias("gap_std_s"), F.count_distinct(F.when(F.col("k") <= last_k, F.col("item_id"))).alias("last_items"),
     )
     return q.select("query_id").join(out, "query_id", "left").fillna(0)
-
-

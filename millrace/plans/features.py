@@ -203,13 +203,6 @@ def m11_spearman(spark: SparkSession, d: str) -> DataFrame:
     return r6(Q.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], ranks=True), "r")
 
 
-@R.add(None)
-def h3_box_cox(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "orders")
-    lam, column = E.box_cox(c, "o_totalprice")
-    return c.select("o_orderkey", column.alias("x"), F.lit(lam).alias("lambda"))
-
-
 @R.add("SELECT o_orderpriority AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 9) AS share FROM orders GROUP BY 1")
 def d2_value_counts(spark: SparkSession, d: str) -> DataFrame:
     return r6(E.value_counts(_orders(spark, d), "c"), "share", digits=9)

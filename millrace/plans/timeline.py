@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import timeline as T
+from millrace.operators.quality import quantiles
 from millrace.plans.registry import Registry
-from millrace.sources.frames import CLICKS, INTER, adapt_interactions, clicks, indexed, interactions
+from millrace.sources.frames import CLICKS, INTER, adapt_interactions, clicks, interactions
 from millrace.sources.tables import table
 
 R = Registry()
@@ -23,11 +24,6 @@ def a2_adapt(spark: SparkSession, d: str) -> DataFrame:
     return df.select("user_id", "item_id", "event", F.unix_micros("ts").alias("us"))
 
 
-@R.add("SELECT count(DISTINCT o_custkey) AS n, 0::BIGINT AS low, count(DISTINCT o_custkey) - 1 AS high FROM orders")
-def q6_indexers(spark: SparkSession, d: str) -> DataFrame:
-    return indexed(table(spark, d, "orders"), "o_custkey").agg(F.count_distinct("idx").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"))
-
-
 @R.add(f"WITH {CLICKS} SELECT user_id, epoch_us(max(ts)) AS ts_query FROM clicks GROUP BY user_id")
 def d1_queries(spark: SparkSession, d: str) -> DataFrame:
     return T.latest(clicks(spark, d), "user_id").select("user_id", F.unix_micros("ts_query").alias("ts_query"))
@@ -66,7 +62,8 @@ def e2_capped_sessions(spark: SparkSession, d: str) -> DataFrame:
 @R.add(f"WITH {INTER}, n AS (SELECT session_id, count(*) AS n FROM inter GROUP BY 1) SELECT count(*) AS sessions, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, max(n) AS longest FROM n")
 def d22_session_lengths(spark: SparkSession, d: str) -> DataFrame:
     n = interactions(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.agg(F.count(F.lit(1)).alias("sessions"), F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.9).alias("p90"), F.max("n").alias("longest"))
+    p50, p90 = quantiles(n, "n", [0.5, 0.9])
+    return n.agg(F.count(F.lit(1)).alias("sessions"), F.lit(p50).alias("p50"), F.lit(p90).alias("p90"), F.max("n").alias("longest"))
 
 
 @R.add(f"WITH {CLICKS} SELECT event_id, lag(value, 1) OVER w AS value_lag1, lag(value, 7) OVER w AS value_lag7 FROM clicks WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)")
@@ -87,9 +84,9 @@ def e5_last_7_days(spark: SparkSession, d: str) -> DataFrame:
     return df.select("event_id", F.round("value_mean_7d", 6).alias("mean"), F.round("value_sum_7d", 6).alias("total"))
 
 
-@R.add(f"WITH RECURSIVE {CLICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM clicks), r AS (SELECT event_id, user_id, k, value AS e FROM o WHERE k = 1 UNION ALL SELECT o.event_id, o.user_id, o.k, 0.25 * o.value + 0.75 * r.e FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, round(e + 1e-7, 4) AS ewm FROM r")
+@R.add(f"WITH RECURSIVE {CLICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM clicks), r AS (SELECT event_id, user_id, k, value AS e FROM o WHERE k = 1 UNION ALL SELECT o.event_id, o.user_id, o.k, 0.25 * o.value + 0.75 * r.e FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, round(e, 6) AS ewm FROM r")
 def e6_ewm(spark: SparkSession, d: str) -> DataFrame:
-    return T.ewm_mean(clicks(spark, d), "user_id", "event_id", "value", 7).select("event_id", F.round(F.col("ewm") + 1e-7, 4).alias("ewm"))
+    return T.ewm_mean(clicks(spark, d), "user_id", ["us", "event_id"], "value", 7).select("event_id", F.round("ewm", 6).alias("ewm"))
 
 
 @R.add(f"WITH {CLICKS}, a AS (SELECT event_id, user_id, us FROM clicks WHERE event = 'purchase'), b AS (SELECT user_id, us, max(value) AS value FROM clicks WHERE event = 'view' GROUP BY ALL) SELECT a.event_id, b.value AS value_asof FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.us >= b.us")
