@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
  SELECT d.doc_id, md5(CASE WHEN l.doc_id IS NULL THEN text ELSE coalesce(t, '') END) AS digest FROM documents d LEFT JOIN leaked l ON l.doc_id = d.doc_id LEFT JOIN cleaned c ON c.doc_id = d.doc_id""",
         "p9_checks": "SELECT 0::BIGINT AS over_repeats, 0::BIGINT AS repeated_slots, 0::BIGINT AS wrong_sizes, true AS near",
         "p10_stretches": f"{_WINDOWS} SELECT * FROM st",
-        "p10_shares": f"{_WINDOWS}, cov AS (SELECT id, 300 + sum(coalesce(least(300, gap), 0)) AS c FROM (SELECT id, pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) AS gap FROM m) GROUP BY id), cnt AS (SELECT doc_id, count(*) AS n FROM st GROUP BY 1) SELECT d.doc_id, CAST(length(text) AS INT) AS chars, coalesce(n, 0) AS stretches, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(c, 0) / length(text) AS share FROM documents d LEFT JOIN cov ON cov.id = d.doc_id LEFT JOIN cnt ON cnt.doc_id = d.doc_id WHERE length(text) > 0",
+        "p10_shares": f"{_WINDOWS}, cov AS (SELECT id, 300 + sum(CASE WHEN gap IS NULL THEN 0 ELSE least(300, gap) END) AS c FROM (SELECT id, pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) AS gap FROM m) GROUP BY id), cnt AS (SELECT doc_id, count(*) AS n FROM st GROUP BY 1) SELECT d.doc_id, CAST(length(text) AS INT) AS chars, coalesce(n, 0) AS stretches, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars, coalesce(c, 0) / length(text) AS share FROM documents d LEFT JOIN cov ON cov.id = d.doc_id LEFT JOIN cnt ON cnt.doc_id = d.doc_id WHERE length(text) > 0",
         "p3_found": f"{_TIES} SELECT s AS query_id, min(v) AS lead_id FROM r GROUP BY s HAVING count(*) > 1",
         "p8_found": f"{_GRAMS} SELECT DISTINCT a.id AS test_id, b.id AS doc_id FROM g a JOIN g b ON a.side = 't' AND b.side = 'd' AND a.g = b.g",
         "p10_found": "WITH w AS (SELECT DISTINCT doc_id, substr(text, i, 300) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300)) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b ON a.s = b.s AND a.doc_id < b.doc_id",
