@@ -128,9 +128,10 @@ def ridge_weights(m: tuple[int, np.ndarray, np.ndarray, float], alpha: float = 1
     return np.linalg.solve(m[1] + pen, m[2])
 
 
-def squared_error(m: tuple[int, np.ndarray, np.ndarray, float], w: np.ndarray) -> float:
+def squared_error(m: tuple[int, np.ndarray, np.ndarray, float], w: Sequence[float]) -> float:
     """Mean squared error of weights (with the constant first) by the moments."""
-    return float(w @ m[1] @ w - 2 * w @ m[2] + m[3])
+    w = np.asarray(w, float)
+    return float(w @ m[1] @ w - 2 * (w @ m[2]) + m[3])
 
 
 def second_level(df: DataFrame, columns: Sequence[str], y: str, fold: str, alphas: Sequence[float] = (0.1, 1.0, 10.0)) -> tuple[DataFrame, dict[str, Any]]:

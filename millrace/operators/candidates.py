@@ -143,6 +143,7 @@ def jaccard_candidates(hist: DataFrame, jaccard: DataFrame) -> DataFrame:
 
 MAX_LINKS = 4_000_000
 CELLS = 4_000_000
+TASK_LINKS = 10_000_000
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, restart: float = 0.15, rounds: int = 10) -> DataFrame:
@@ -204,7 +205,9 @@ def _walked(step: DataFrame, start: DataFrame, restart: float, rounds: int) -> D
                 yield pd.DataFrame({"query_id": ids[row[lone]], "item_id": seeds[lone], "score": mass[lone] * (restart if rounds else 1.0)})
 
     kinds = dict(start.dtypes)
-    rows = start.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "s")).alias("seeds"))
+    rows = cut(start.groupBy("query_id").agg(F.collect_list(F.struct("item_id", "s")).alias("seeds")))
+    # a query's walks take about as long as there are links: tasks of like work, however few bytes they read
+    rows = rows.repartition(rows.count() * max(1, len(p)) // TASK_LINKS + 1)
     return rows.mapInPandas(walk, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
 
 

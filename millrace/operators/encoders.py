@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,23 +124,23 @@ def ordinal_encoded(df: DataFrame, train: DataFrame, c: str, unknown: int = -1)
 
 def tree_edges(df: DataFrame, c: str, y: str, bins: int, grid: int = 256) -> list[float]:
     """Up to bins - 1 edges of a number that lower the squared error of a target most, one after the other. Only the
-    sums of the target in `grid` quantile cells, from one pass, decide: a regression tree of one feature on them."""
-    cells = list(dict.fromkeys(quantiles(df, finite(c), [i / grid for i in range(1, grid)])))
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in cells]), lambda v: v < finite(c))) if cells else F.lit(0)
-    rows = df.where(finite(c).isNotNull() & F.col(y).isNotNull()).groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("s")).collect()  # at most `grid` rows
-    n, total = [0] * (len(cells) + 1), [0.0] * (len(cells) + 1)
-    for r in rows:
-        n[r.k], total[r.k] = r.n, r.s
-    square = lambda a, b: sum(total[a:b]) ** 2 / sum(n[a:b]) if sum(n[a:b]) else 0.0
-    parts = [(0, len(n))]
-    while len(parts) < bins:
-        gains = [(square(a, m) + square(m, b) - square(a, b), a, m, b) for a, b in parts for m in range(a + 1, b) if sum(n[a:m]) and sum(n[m:b])]
+    sums of the target in `grid` cells of like size, from running counts, decide: a regression tree of one feature."""
+    known = df.select(finite(c).alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    run = running_counts(known.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")), "x", ["n"])
+    whole = run.agg(F.max("cum_n")).scalar()
+    cell = F.floor((F.col("cum_n") - 1) * grid / whole)
+    rows = run.groupBy(cell.alias("k")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("x").alias("x")).orderBy("k").collect()  # at most `grid` rows
+    n, total = np.cumsum([0, *(r.n for r in rows)]), np.cumsum([0.0, *(r.s for r in rows)])
+    square = lambda a, b: (total[b] - total[a]) ** 2 / (n[b] - n[a])
+    parts = [(0, len(rows))] if rows else []
+    while parts and len(parts) < bins:
+        gains = [(square(a, m) + square(m, b) - square(a, b), a, m, b) for a, b in parts for m in range(a + 1, b)]
         if not gains or max(gains)[0] <= 1e-12:
             break
         _, a, m, b = max(gains)
         parts.remove((a, b))
         parts += [(a, m), (m, b)]
-    return sorted(cells[a - 1] for a, _ in parts if a)
+    return sorted(rows[a - 1].x for a, _ in parts if a)
 
 
 def _numbered(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
@@ -227,14 +228,14 @@ def group_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """mean, std, median, min, max, sum, n, distinct and bias-corrected skew and kurtosis of a group's values."""
     n, m = F.count(value).cast("double"), F.skewness(value)
     k = F.kurtosis(value)
-    named = df.withColumn("__g", F.struct(*keys))
-    middle = grouped_quantiles(named, "__g", value, [0.5]).select("__g", F.col("q")[0].alias("median"))
+    named = df.withColumn("__group", F.struct(*keys))
+    middle = grouped_quantiles(named, "__group", value, [0.5]).select("__group", F.col("q")[0].alias("median"))
     stats = df.groupBy(*keys).agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"),
         F.count(value).alias("n"), F.count_distinct(value).alias("distinct"), F.when(n > 2, m * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"),
         F.when(n > 3, ((n + 1) * k + 6) * (n - 1) / ((n - 2) * (n - 3))).alias("kurt"),
     )
-    return stats.withColumn("__k", F.struct(*keys)).join(middle, F.col("__k").eqNullSafe(F.col("__g")), "left").drop("__k", "__g")
+    return stats.withColumn("__k", F.struct(*keys)).join(middle, F.col("__k").eqNullSafe(F.col("__group")), "left").drop("__k", "__group")
 
 
 def number_pairs(columns: Sequence[str], ops: Sequence[str] = ("add", "sub", "mul", "div"), eps: float = 1e-6) -> dict[str, Column]:

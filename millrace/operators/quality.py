@@ -269,8 +269,8 @@ def rank_agreement(runs: DataFrame, a: str, b: str, pairs: int = 20, seed: int =
     neighbours in a range partition, so that no two tables of all rows are joined."""
     w = Window.partitionBy("__part").orderBy("__h", "key")
     rows = cut(runs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__h", F.md5(F.concat(F.col("key").cast("string"), F.lit(f"#{seed}")))).repartitionByRange("__h").withColumn("__part", F.spark_partition_id()))
-    steps = [F.struct((F.signum(F.col(a) - F.lag(a, k).over(w)) * F.signum(F.col(b) - F.lag(b, k).over(w))).alias("s")) for k in range(1, pairs + 1)]
-    signs = rows.select(F.explode(F.array(*steps)).alias("x")).select("x.s").where("s IS NOT NULL")
+    steps = {f"__s{k}": F.signum(F.col(a) - F.lag(a, k).over(w)) * F.signum(F.col(b) - F.lag(b, k).over(w)) for k in range(1, pairs + 1)}
+    signs = rows.withColumns(steps).select(F.explode(F.array(*steps)).alias("s")).where("s IS NOT NULL")
     return signs.agg(F.avg("s").alias("kendall"), F.avg((F.col("s") < 0).cast("double")).alias("inversions"), F.count(F.lit(1)).alias("pairs"))
 
 

@@ -76,7 +76,7 @@ def n17_perturbed_weights(spark: SparkSession, d: str) -> DataFrame:
 def n8_weights(spark: SparkSession, d: str) -> DataFrame:
     m = W.moments(scores(spark, d), RUNS, "y")[0]
     w, v = W.convex_weights(m), W.nonnegative_weights(m)
-    error = lambda x: W.squared_error(m, [0.0, *x] if not hasattr(x, "tolist") else [0.0, *x.tolist()])
+    error = lambda x: W.squared_error(m, [0.0, *x])
     row = (bool(abs(w.sum() - 1) < 1e-9), bool((w >= 0).all() and (v >= 0).all()), bool(error(w) <= error([1 / 3] * 3) + 1e-12), bool(error(v) <= error(w) + 1e-9))
     return spark.createDataFrame([row], "sums_to_one boolean, nonnegative boolean, no_worse_than_equal boolean, free_no_worse boolean")
 
@@ -114,8 +114,10 @@ def n13_isotonic(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"WITH {_S} SELECT count(*) AS rows, true AS mean_kept, true AS better FROM s")
 def n13_platt(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, whether the mean is the target's, and whether the scores say more than that mean alone."""
     out = M.platt(scores(spark, d), "y", "p1")
-    loss = Q.log_loss(F.col("y"), F.col("calibrated")) < Q.log_loss(F.col("y"), F.col("p1"))
+    mean = out.agg(F.avg("y")).first()[0]
+    loss = Q.log_loss(F.col("y"), F.col("calibrated")) < Q.log_loss(F.col("y"), F.lit(mean))
     return out.agg(F.count(F.lit(1)).alias("rows"), (F.abs(F.avg("calibrated") - F.avg("y")) < 1e-3).alias("mean_kept"), loss.alias("better"))
 
 

@@ -14,7 +14,7 @@ from millrace.sources.tables import table
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
 
-_LINES = "rows AS (SELECT *, row_number() OVER () AS r FROM lineitem), train AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), test AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0)"
+_LINES = "rows AS (SELECT *, row_number() OVER () AS r FROM lineitem), train AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0)"
 _FOLD = "CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '#0'), 1, 7))::BIGINT % 5 AS INT)"
 _Y = "CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END"
 
@@ -30,8 +30,9 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The part that encoders are fitted on, and all orders, which they encode."""
     o = _orders(spark, d)
-    return o.where("o_orderkey % 5 <> 0"), o.where("o_orderkey % 5 = 0")
+    return o.where("o_orderkey % 5 <> 0"), o
 
 
 @R.add("WITH s AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS sd, min(c_acctbal) AS lo, max(c_acctbal) AS hi, quantile_cont(c_acctbal, 0.5) AS q2, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3, quantile_cont(c_acctbal, 0.01) AS a, quantile_cont(c_acctbal, 0.99) AS b FROM customer) SELECT c_custkey, round((c_acctbal - m) / sd, 6) AS standard, round((c_acctbal - lo) / (hi - lo), 6) AS minmax, round((c_acctbal - q2) / (q3 - q1), 6) AS robust, round(least(greatest(c_acctbal, a), b), 6) AS clipped, CASE WHEN c_acctbal < q1 - 0.5 * (q3 - q1) OR c_acctbal > q3 + 0.5 * (q3 - q1) THEN 1 ELSE 0 END AS outlier FROM customer, s")
@@ -52,17 +53,17 @@ def i5_binned(spark: SparkSession, d: str) -> DataFrame:
 _FREQ = f"WITH {_LINES}, n AS (SELECT o_custkey, count(*) AS n FROM train GROUP BY 1), p AS (SELECT coalesce(sum(n), 0) AS p FROM n WHERE n < 5)"
 
 
-@R.add(f"{_FREQ} SELECT o_orderkey, CAST(coalesce(CASE WHEN n < 5 THEN p ELSE n END, 0) AS BIGINT) AS n, round(coalesce(CASE WHEN n < 5 THEN p ELSE n END, 0) / (SELECT count(*) FROM train), 9) AS share FROM test LEFT JOIN n USING (o_custkey), p")
+@R.add(f"{_FREQ} SELECT o_orderkey, CAST(coalesce(CASE WHEN n < 5 THEN p ELSE n END, 0) AS BIGINT) AS n, round(coalesce(CASE WHEN n < 5 THEN p ELSE n END, 0) / (SELECT count(*) FROM train), 9) AS share FROM orders LEFT JOIN n USING (o_custkey), p")
 def i15_frequency(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _parts(spark, d)
-    out = E.frequency_encoded(test, train, "o_custkey", 5)
+    train, every = _parts(spark, d)
+    out = E.frequency_encoded(every, train, "o_custkey", 5)
     return out.select("o_orderkey", F.col("o_custkey_count").alias("n"), F.round("o_custkey_share", 9).alias("share"))
 
 
-@R.add(f"WITH {_LINES}, s AS (SELECT o_custkey, sum({_Y}) AS s, count(*) AS n FROM train GROUP BY 1), p AS (SELECT avg({_Y}) AS p FROM train) SELECT o_orderkey, round((coalesce(s, 0) + p * 20) / (coalesce(n, 0) + 20), 6) AS te FROM test LEFT JOIN s USING (o_custkey), p")
+@R.add(f"WITH {_LINES}, s AS (SELECT o_custkey, sum({_Y}) AS s, count(*) AS n FROM train GROUP BY 1), p AS (SELECT avg({_Y}) AS p FROM train) SELECT o_orderkey, round((coalesce(s, 0) + p * 20) / (coalesce(n, 0) + 20), 6) AS te FROM orders LEFT JOIN s USING (o_custkey), p")
 def i16_target(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _parts(spark, d)
-    return E.target_encoded(test, train, "o_custkey", "y").select("o_orderkey", F.round("o_custkey_te", 6).alias("te"))
+    train, every = _parts(spark, d)
+    return E.target_encoded(every, train, "o_custkey", "y").select("o_orderkey", F.round("o_custkey_te", 6).alias("te"))
 
 
 @R.add(f"WITH o AS (SELECT o_orderkey, o_custkey, {_Y} AS y, {_FOLD} AS fold FROM orders), a AS (SELECT o_custkey, fold, sum(y) AS s, count(*) AS n FROM o GROUP BY ALL), w AS (SELECT o_custkey, sum(s) AS s, sum(n) AS n FROM a GROUP BY 1), f AS (SELECT fold, sum(s) AS s, sum(n) AS n FROM a GROUP BY 1), t AS (SELECT sum(s) AS s, sum(n) AS n FROM a) SELECT o_orderkey, round((w.s - a.s + (t.s - f.s) / (t.n - f.n) * 10) / (w.n - a.n + 10), 6) AS te FROM o JOIN a USING (o_custkey, fold) JOIN w USING (o_custkey) JOIN f USING (fold), t")
@@ -70,17 +71,18 @@ def i18_target_by_folds(spark: SparkSession, d: str) -> DataFrame:
     return E.target_encoded_by_folds(_orders(spark, d), "o_custkey", "y", "fold").select("o_orderkey", F.round("o_custkey_te", 6).alias("te"))
 
 
-@R.add(f"WITH {_LINES}, g AS (SELECT o_orderpriority AS c, sum({_Y}) AS p, sum(1 - {_Y}) AS q FROM train GROUP BY 1), t AS (SELECT sum(p) AS p, sum(q) AS q FROM g) SELECT o_orderkey, round(ln(((g.p + 1e-6) / t.p) / ((g.q + 1e-6) / t.q)), 6) AS woe FROM test JOIN g ON g.c = o_orderpriority, t")
+@R.add(f"WITH {_LINES}, g AS (SELECT o_orderpriority AS c, sum({_Y}) AS p, sum(1 - {_Y}) AS q FROM train GROUP BY 1), t AS (SELECT sum(p) AS p, sum(q) AS q FROM g) SELECT o_orderkey, round(ln(((g.p + 1e-6) / t.p) / ((g.q + 1e-6) / t.q)), 6) AS woe FROM orders JOIN g ON g.c = o_orderpriority, t")
 def i17_woe(spark: SparkSession, d: str) -> DataFrame:
-    train, test = _parts(spark, d)
-    return E.woe_encoded(test, train, "c", "y").select("o_orderkey", F.round("c_woe", 6).alias("woe"))
+    train, every = _parts(spark, d)
+    return E.woe_encoded(every, train, "c", "y").select("o_orderkey", F.round("c_woe", 6).alias("woe"))
 
 
-@R.add("WITH t AS (SELECT c_mktsegment AS k FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2) SELECT c_custkey, CASE WHEN c_mktsegment IN (SELECT k FROM t) THEN 0 ELSE 1 END AS other, CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END AS missing FROM customer")
+@R.add("WITH t AS (SELECT list(k ORDER BY n DESC, k) AS k FROM (SELECT c_mktsegment AS k, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, k LIMIT 2)) SELECT c_custkey, CASE WHEN c_mktsegment = k[1] THEN 1 ELSE 0 END AS first, CASE WHEN c_mktsegment = k[2] THEN 1 ELSE 0 END AS second, CASE WHEN c_mktsegment IN (k[1], k[2]) THEN 0 ELSE 1 END AS other, CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END AS missing FROM customer, t")
 def i10_one_hot(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    hot = E.one_hot("c_mktsegment", E.top_categories(c, "c_mktsegment", 2))
-    return c.select("c_custkey", hot["c_mktsegment_other"].alias("other"), hot["c_mktsegment_null"].alias("missing"))
+    top = E.top_categories(c, "c_mktsegment", 2)
+    hot = E.one_hot("c_mktsegment", top)
+    return c.select("c_custkey", hot[f"c_mktsegment_{top[0]}"].alias("first"), hot[f"c_mktsegment_{top[1]}"].alias("second"), hot["c_mktsegment_other"].alias("other"), hot["c_mktsegment_null"].alias("missing"))
 
 
 @R.add("WITH k AS (SELECT category FROM tiny_items WHERE category IS NOT NULL GROUP BY 1 HAVING count(*) >= 20) SELECT CASE WHEN category IS NULL OR category IN (SELECT category FROM k) THEN category ELSE 'Other' END AS category, count(*) AS n FROM tiny_items GROUP BY 1")
@@ -142,7 +144,9 @@ def m5_categories(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("WITH x AS (SELECT 'l_quantity' AS feature, l_quantity AS x FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) SELECT feature, count(*) AS rows, count(*) FILTER (x IS NULL) AS missing, count(*) FILTER (x = 0) AS zeros, count(*) FILTER (x < 0) AS negatives, count(DISTINCT x) AS distinct, round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, round(quantile_cont(x, 0.01), 6) AS p01, round(median(x), 6) AS p50, round(quantile_cont(x, 0.99), 6) AS p99 FROM x GROUP BY 1")
 def m8_profile(spark: SparkSession, d: str) -> DataFrame:
-    return r6(r6(Q.profile(table(spark, d, "lineitem"), ["l_quantity", "l_tax"]), "p01", "p50", "p99"), "mean", "std", digits=4)
+    p = Q.profile(table(spark, d, "lineitem"), ["l_quantity", "l_tax"])
+    p = p.select("feature", "rows", "missing", "zeros", "negatives", "distinct", "mean", "std", "p01", "p50", "p99")
+    return r6(r6(p, "p01", "p50", "p99"), "mean", "std", digits=4)
 
 
 _P = "p AS (SELECT o_orderkey, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS y, (o_custkey % 97 + CASE WHEN o_totalprice > 250000 THEN 30 ELSE 0 END) / 130 AS p FROM orders)"
@@ -240,8 +244,9 @@ def c1_feature_join(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("WITH x AS (SELECT l_orderkey, date_trunc('week', l_shipdate) AS w, l_extendedprice AS y FROM lineitem) SELECT strftime(w, '%Y-%m-%d') AS week, count(*) AS n, round(avg(y), 3) AS mean, round(median(y), 3) AS median FROM x GROUP BY w")
 def d18_by_week(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").groupBy(F.date_format(F.date_trunc("week", "l_shipdate"), "yyyy-MM-dd").alias("week"))
-    return r6(x.agg(F.count(F.lit(1)).alias("n"), F.avg("l_extendedprice").alias("mean"), F.median("l_extendedprice").alias("median")), "mean", "median", digits=3)
+    x = table(spark, d, "lineitem").withColumn("week", F.date_format(F.date_trunc("week", "l_shipdate"), "yyyy-MM-dd"))
+    s = E.group_stats(x, ["week"], "l_extendedprice")
+    return r6(s.select("week", "n", "mean", "median"), "mean", "median", digits=3)
 
 
 @R.add("SELECT c_custkey, CASE WHEN c_acctbal > -1 THEN round(ln(1 + c_acctbal), 9) END AS log1p, round(sqrt(greatest(c_acctbal, 0)), 9) AS root, round(1 / (1 + exp(-c_acctbal / 5000)), 9) AS sigmoid, c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS crossed FROM customer")

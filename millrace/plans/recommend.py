@@ -226,12 +226,12 @@ def _walk_sql(rounds: int) -> str:
     return out
 
 
-@R.add(f"WITH {_walk_sql(10)}, r AS (SELECT query_id, item_id, round(s, 9) AS score FROM s10), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM r) SELECT query_id, item_id, rank, round(score, 6) AS score FROM k WHERE rank <= 20")
+@R.add(f"WITH {_walk_sql(10)}, r AS (SELECT query_id, item_id, round(s, 9) AS score FROM s10), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INT) AS rank FROM r) SELECT query_id, item_id, rank, score FROM k WHERE rank <= 20")
 def k6_walks(spark: SparkSession, d: str) -> DataFrame:
     i = interactions(spark, d)
     seeds = C.history(i, _queries(i), 5).select("query_id", "item_id")
     walks = C.personalised_rank(C.covisit_edges(i, CUT, min_weight=0, neighbours=None, window_days=None), seeds)
-    return K.best(walks.withColumn("score", F.round("score", 9)), "query_id", "score", "item_id", 20).withColumn("score", F.round("score", 6))
+    return K.best(walks.withColumn("score", F.round("score", 9)), "query_id", "score", "item_id", 20)
 
 
 @R.add("SELECT count(DISTINCT o_custkey) AS queries, 0::BIGINT AS short, 0::BIGINT AS positives, 0::BIGINT AS repeats FROM orders JOIN lineitem ON l_orderkey = o_orderkey")

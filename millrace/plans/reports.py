@@ -172,11 +172,11 @@ def i7_tree_bins(spark: SparkSession, d: str) -> DataFrame:
 _STATS = f"""WITH {CLICKS}, c AS (SELECT *, CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR) || '#0'), 1, 7))::BIGINT % 3 AS INT) AS fold FROM clicks)"""
 
 
-@R.add(f"{_STATS} SELECT a.event_id, count(b.event_id) AS n, round(avg(b.value), 6) AS mean, arg_max(b.value, (b.us, b.event_id)) AS last FROM c a LEFT JOIN c b ON a.user_id = b.user_id AND a.fold <> b.fold AND b.us < a.us - 86400000000 GROUP BY a.event_id")
+@R.add(f"{_STATS} SELECT a.event_id, count(b.event_id) AS n, round(avg(b.value), 9) AS mean, arg_max(b.value, (b.us, b.event_id)) AS last FROM c a LEFT JOIN c b ON a.user_id = b.user_id AND a.fold <> b.fold AND b.us < a.us - 86400000000 GROUP BY a.event_id")
 def e7_fold_history(spark: SparkSession, d: str) -> DataFrame:
     c = clicks(spark, d).withColumn("fold", T.hashed_fold(F.col("event_id"), 3))
     out = T.fold_history(c, "user_id", "us", "event_id", "value", "fold", 3, T.DAY_US)
-    return out.select("event_id", F.col("value_n").alias("n"), F.round("value_mean", 6).alias("mean"), F.col("value_last").alias("last"))
+    return out.select("event_id", F.col("value_n").alias("n"), F.round("value_mean", 9).alias("mean"), F.col("value_last").alias("last"))
 
 
 @R.add(f"WITH {CLICKS} SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS so_far, round((us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id)) / 86400000000, 6) AS gap_days, count(*) OVER (PARTITION BY user_id, item_id ORDER BY us, event_id) - 1 AS seen FROM clicks")

@@ -84,9 +84,10 @@ def e5_last_7_days(spark: SparkSession, d: str) -> DataFrame:
     return df.select("event_id", F.round("value_mean_7d", 6).alias("mean"), F.round("value_sum_7d", 6).alias("total"))
 
 
-@R.add(f"WITH RECURSIVE {CLICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM clicks), r AS (SELECT event_id, user_id, k, value AS e FROM o WHERE k = 1 UNION ALL SELECT o.event_id, o.user_id, o.k, 0.25 * o.value + 0.75 * r.e FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, round(e, 6) AS ewm FROM r")
+@R.add(f"WITH RECURSIVE {CLICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM clicks), r AS (SELECT event_id, user_id, k, value AS e FROM o WHERE k = 1 UNION ALL SELECT o.event_id, o.user_id, o.k, CAST(2 AS DOUBLE) / 7 * o.value + CAST(5 AS DOUBLE) / 7 * r.e FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1) SELECT event_id, round(e, 6) AS ewm FROM r")
 def e6_ewm(spark: SparkSession, d: str) -> DataFrame:
-    return T.ewm_mean(clicks(spark, d), "user_id", ["us", "event_id"], "value", 7).select("event_id", F.round("ewm", 6).alias("ewm"))
+    # alpha 2 / 7 is no finite decimal: no mean lies on the bound of two rounded values
+    return T.ewm_mean(clicks(spark, d), "user_id", ["us", "event_id"], "value", 6).select("event_id", F.round("ewm", 6).alias("ewm"))
 
 
 @R.add(f"WITH {CLICKS}, a AS (SELECT event_id, user_id, us FROM clicks WHERE event = 'purchase'), b AS (SELECT user_id, us, max(value) AS value FROM clicks WHERE event = 'view' GROUP BY ALL) SELECT a.event_id, b.value AS value_asof FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.us >= b.us")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.session import named_folder
@@ -63,5 +64,5 @@ def run_available(spark: SparkSession, df: DataFrame, mode: str = "append", path
 
     query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    rows = spark.read.schema(df.schema.add("batch", "int")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    rows = spark.read.schema(T.StructType([*df.schema, T.StructField("batch", T.IntegerType())])).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
     return (rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()) if mode == "complete" else rows).drop("batch")
