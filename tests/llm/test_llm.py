@@ -231,3 +231,79 @@ def test_blocks_hold_each_token_of_a_source_once(spark):
     mix, _ = mixed(d, t, doc_id="doc_id", text="text", source="source", share="share", repeats="repeats", tokenizer_path=TOKENIZER, block=10)
     got = Counter(x for r in mix.collect() for x in r.tokens)
     assert got == Counter(x for _, text, _ in docs for x in enc.encode_ordinary(text))
+
+
+def test_hot_keys_and_classes_apart_give_the_same(spark, monkeypatch):
+    from millrace.llm import shared, splits
+
+    rng = random.Random(12)
+    links = [(f"r{i}", f"k{min(rng.randrange(40), rng.randrange(40))}") for i in range(200) for _ in range(2)] + [(f"r{i}", "hub") for i in range(60)]
+    df = spark.createDataFrame(links, "r string, k string")
+    docs = spark.createDataFrame([(i, f"{i:04d}" * 3 + ("a long licence text " * 3 if i % 2 else f"{i % 5} other words here ") + f"{i:04d}") for i in range(60)], "id long, text string")
+    plain = {r.r: r.root for r in tied_records(df, "r", "k").collect()}
+    pairs = sorted((r.doc_a, r.doc_b) for r in shared_pairs(docs, "id", "text", 16, bits=12).collect())
+    stretches = sorted(shared_stretches(docs, "id", "text", 16, bits=12).collect())
+    for module in (splits, shared):
+        monkeypatch.setattr(module, "HOT_ROWS", 8)
+    assert {r.r: r.root for r in tied_records(df, "r", "k").collect()} == plain
+    assert sorted((r.doc_a, r.doc_b) for r in shared_pairs(docs, "id", "text", 16, bits=12).collect()) == pairs and pairs
+    assert sorted(shared_stretches(docs, "id", "text", 16, bits=12).collect()) == stretches
+
+
+def test_stretches_are_verbatim_and_cover_all(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    docs = {i: text(rng.randrange(20, 60)) for i in range(12)}
+    docs[20] = docs[3][:30] + docs[4][-25:]
+    rows = shared_stretches(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), "doc_id", "text", 10, bits=10).collect()
+    assert rows
+    for r in rows:
+        own = docs[r.doc_id][r.start : r.start + r.length]
+        assert len(own) == r.length >= 10 and r.doc_id != r.other_id and docs[r.other_id][r.other_start : r.other_start + r.length] == own
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    from millrace.llm.shared import _pieces, fingerprints
+
+    rng = random.Random(10)
+    texts = ["", "short", "".join(rng.choice("abc\U0001f600") for _ in range(137)), "".join(rng.choice("abc") for _ in range(50))]
+    monkeypatch.setattr("millrace.llm.shared.STEP", 20)
+    got = defaultdict(dict)
+    for owner, _, pos, whole, least in _pieces(texts, 12):
+        for k, p, h, m in zip(owner, pos, whole, least):
+            assert p not in got[k]
+            got[k][p] = (h, m)
+    for k, t in enumerate(texts):
+        whole, least = fingerprints(t, 12)
+        assert got[k] == {p: (h, m) for p, (h, m) in enumerate(zip(whole, least))}
+
+
+def test_forest_is_read_back_and_grows(spark):
+    from millrace.llm.splits import read_forest
+    from millrace.session import named_folder
+
+    path = named_folder(spark, "test-forest")
+    labels, forest = spanning_forest(spark.createDataFrame([("b", "c"), ("c", "d"), ("x", "y"), ("b", "d")], "a string, b string"), "a", "b", path)
+    again, links = read_forest(spark, path)
+    assert {(r.vertex, r.root) for r in again.collect()} == {("b", "b"), ("c", "b"), ("d", "b"), ("x", "x"), ("y", "x")} and links.count() == 3
+    more, _ = spanning_forest(links.unionByName(spark.createDataFrame([("d", "a"), ("y", "z")], "u string, v string")), "u", "v")
+    assert {(r.vertex, r.root) for r in more.collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "x"), ("y", "x"), ("z", "x")}
+
+
+def test_pairs_of_low_significance_are_left_out(spark):
+    rows = [(s, i) for s in range(40) for i in ("a", "b")[: 1 + s % 2]] + [(s, "c") for s in range(40, 44)] + [(43, "a")]
+    df = spark.createDataFrame(rows, "basket int, item string")
+    llr = {(r.item_a, r.item_b): r.llr for r in items_together(df, "basket", "item").collect()}
+    limit = sum(llr.values()) / len(llr)
+    kept = {(r.item_a, r.item_b) for r in items_together(df, "basket", "item", min_llr=limit).collect()}
+    assert kept == {p for p, x in llr.items() if x >= limit} and kept and kept != set(llr)
+
+
+def test_plan_of_tokens_not_blocks(spark):
+    # a source whose last block is nearly empty keeps its share all the same
+    docs = [(i, "one two three four", "a") for i in range(400)] + [(1000 + i, "one two", "b") for i in range(9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 20)], "source string, share double, repeats int")
+    _, shares = mixed(d, t, doc_id="doc_id", text="text", source="source", share="share", repeats="repeats", tokenizer_path=TOKENIZER, block=16)
+    got = {r.source: r.actual_share for r in shares.collect()}
+    assert abs(got["b"] - 0.1) < 0.012 and abs(sum(got.values()) - 1) < 1e-9
