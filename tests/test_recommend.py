@@ -1,6 +1,9 @@
+import math
+import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
 from millrace.plans import recommend as P
@@ -39,9 +42,49 @@ def test_walks_follow_old_links(spark, orders):
 
 
 def test_neighbour_sets_are_whole(spark, orders):
-    folder = orders([*[(1, [0, i]) for i in range(1, 206)], *[(1, [500, i]) for i in range(1, 101)]])
-    got = P.k6_neighbour_jaccard(spark, folder).where("item_i IN (0, 500)").collect()
-    assert sorted((r.item_i, r.item_j, r.jaccard) for r in got) == [(0, 500, round(100 / 205, 6)), (500, 0, round(100 / 205, 6))]
+    folder = orders([*[(1, [0, i]) for i in range(1, 206)], *[(1, [500, i]) for i in range(1, 101)], (1, [0, 500])])
+    got = P.k6_neighbour_jaccard(spark, folder).where("item_i IN (0, 500) AND jaccard > 0.4").collect()
+    assert sorted((r.item_i, r.item_j, r.jaccard) for r in got) == [(0, 500, round(100 / 207, 6)), (500, 0, round(100 / 207, 6))]
+
+
+def test_common_neighbours_against_brute_force(spark):
+    rng = random.Random(3)
+    links = {tuple(sorted(rng.sample(range(25), 2))) for _ in range(90)} | {(0, i) for i in range(1, 25)}
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    got = {(r.item_i, r.item_j): r.jaccard for r in C.neighbour_jaccard(spark.createDataFrame(sorted(links), "item_i long, item_j long")).collect()}
+    assert set(got) == links | {(b, a) for a, b in links}
+    assert all(abs(x - len(near[a] & near[b]) / len(near[a] | near[b])) < 1e-12 for (a, b), x in got.items())
+    assert C.neighbour_jaccard(spark.createDataFrame([], "item_i long, item_j long")).count() == 0
+
+
+def test_pairs_of_long_scopes_in_blocks(spark):
+    rows = [("s", i) for i in range(40)] + [("t", 1), ("t", 1), (None, 3), ("u", 9)]
+    got = C.paired(spark.createDataFrame(rows, "s string, x int"), "s", ["x"], block=7).collect()
+    assert sorted(tuple(sorted((r.x_a, r.x_b))) for r in got) == sorted([(a, b) for a in range(40) for b in range(a + 1, 40)] + [(1, 1)])
+
+
+def test_covisits_decay_by_the_days_between(spark):
+    rows = [("u", 1, "2024-01-01"), ("u", 2, "2024-01-11"), ("u", 1, "2024-01-11"), ("v", 3, "2023-01-01"), ("v", 4, "2023-01-01"), (None, 5, "2024-01-11"), ("w", None, "2024-01-11")]
+    log = spark.createDataFrame(rows, "user_id string, item_id int, ts string").withColumn("ts", F.to_timestamp("ts"))
+    got = {(r.item_i, r.item_j): r.w for r in C.covisit_edges(log, "2024-01-20", "user_id", min_weight=0).collect()}
+    far = math.exp(-0.5)
+    assert set(got) == {(1, 2), (2, 1), (1, 1)} and abs(got[1, 2] - (1 + far)) < 1e-12 and abs(got[1, 1] - 2 * far) < 1e-12
+    assert {(r.item_i, r.item_j) for r in C.covisit_edges(log, "2024-01-20", "user_id", min_weight=1.5).collect()} == {(1, 2), (2, 1)}
+
+
+def test_walks_by_joins_equal_walks_beside_the_graph(spark, monkeypatch):
+    rng = random.Random(5)
+    links = {tuple(rng.sample(range(12), 2)): rng.random() for _ in range(40)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()] + [(3, 11, 0.0)], "item_i long, item_j long, w double")
+    seeds = spark.createDataFrame([("p", 1), ("p", 1), ("p", 5), ("q", 99), ("q", 2)], "query_id string, item_id long")
+    take = lambda: {(r.query_id, r.item_id): r.score for r in C.personalised_rank(edges, seeds).collect()}
+    beside = take()
+    monkeypatch.setattr(C, "MAX_LINKS", 0)
+    joined = take()
+    assert set(beside) == set(joined) and all(abs(beside[k] - joined[k]) < 1e-12 for k in joined) and beside["q", 99] > 0
 
 
 def test_negatives_come_from_all_items_by_weight(spark):
