@@ -273,15 +273,21 @@ def grid_cell(lat: Column, lon: Column, step_m: float) -> tuple[Column, Column]:
 
 
 def radius_neighbours(df: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:
-    """key, n: the other points within radius_m. Equal-key join on latitude bands and longitude cells: each
-    point asks its own and the bordering cells, whose width is taken at the widest of its three bands."""
+    """key, n: the other points within radius_m. Equal-key join on latitude bands and longitude cells: each point asks
+    its own and the bordering cells, whose width is taken at the widest of its three bands; the last cell of a band
+    borders on the first, across the 180th meridian, and bands at the poles are one cell."""
     step = radius_m / 111_000.0
     p = df.select(F.col(key).alias("k"), F.col(lat).alias("la"), F.col(lon).alias("lo")).where("la IS NOT NULL AND lo IS NOT NULL")
     band = F.floor(F.col("la") / step).cast("long")
-    width = lambda b: step / F.greatest(F.least(F.cos(F.radians(b * step)), F.cos(F.radians((b + 1) * step))), F.lit(0.01))
-    own = p.withColumn("b", band).withColumn("c", F.floor(F.col("lo") / width(F.col("b"))).cast("long"))
+    least = lambda b: F.least(F.cos(F.radians(b * step)), F.cos(F.radians((b + 1) * step)))
+    # near the poles a radius spans any longitudes: one cell
+    width = lambda b: F.when(least(b) < 4 * math.radians(step), 360.0).otherwise(step / least(b))
+    cells = lambda b: F.greatest(F.ceil(360 / width(b)), F.lit(1)).cast("long")
+    cell = lambda b: F.floor(F.pmod(F.col("lo") + 180, F.lit(360.0)) / width(b)).cast("long")
+    own = p.withColumn("b", band).withColumn("c", cell(F.col("b")))
     ask = p.withColumn("b", F.explode(F.array(band - 1, band, band + 1)))
-    ask = ask.withColumn("c0", F.floor(F.col("lo") / width(F.col("b"))).cast("long")).withColumn("c", F.explode(F.array(F.col("c0") - 2, F.col("c0") - 1, F.col("c0"), F.col("c0") + 1, F.col("c0") + 2)))
+    near = F.transform(F.array(*[F.lit(x) for x in range(-2, 3)]), lambda x: F.pmod(cell(F.col("b")) + x, cells(F.col("b"))))
+    ask = ask.withColumn("c", F.explode(F.array_distinct(near)))
     other = own.select(F.col("k").alias("k2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "b", "c")
-    near = ask.join(other, ["b", "c"]).where((F.col("k") != F.col("k2")) & (haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_m))
-    return p.select(F.col("k").alias(key)).join(near.groupBy(F.col("k").alias(key)).agg(F.count_distinct("k2").alias("n")), key, "left").fillna(0, ["n"])
+    met = ask.join(other, ["b", "c"]).where((F.col("k") != F.col("k2")) & (haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_m))
+    return p.select(F.col("k").alias(key)).join(met.groupBy(F.col("k").alias(key)).agg(F.count_distinct("k2").alias("n")), key, "left").fillna(0, ["n"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from millrace.operators.quality import running_counts
 from millrace.operators.ranking import best
@@ -184,11 +186,32 @@ def answer_scores(answer: Column, truth: Column) -> dict[str, Column]:
     return {"em": (normalised_answer(answer) == normalised_answer(truth)).cast("int"), "f1": F.when(common > 0, 2 * p * r / (p + r)).otherwise(0.0)}
 
 
+@F.pandas_udf(StringType())
+def first_json(texts: pd.Series) -> pd.Series:
+    """The first object in a text that is whole JSON, as it stands there; null where there is none."""
+    decode = json.JSONDecoder().raw_decode
+
+    def find(text: str | None) -> str | None:
+        at = -1 if text is None else text.find("{")
+        while at >= 0:
+            try:
+                return text[at : decode(text, at)[1]]
+            except ValueError:
+                at = text.find("{", at + 1)
+        return None
+
+    return texts.map(find).astype(object)
+
+
 def json_answer(reply: Column) -> Column:
-    """The answer and citations of a model's reply: code fences off, the outermost braces parsed; null fields where
-    there are none."""
-    body = F.regexp_extract(F.regexp_replace(reply, r"(?s)```(?:json)?", ""), r"(?s)(\{.*\})", 1)
-    return F.from_json(body, "answer STRING, citations ARRAY<INT>")
+    """The answer and citations of a model's reply, in a code fence or not: of its first whole JSON object; where that
+    has no answer, or there is none, the text itself without fences is the answer, and the citations are the numbers
+    in square brackets."""
+    got = F.from_json(first_json(reply), "answer STRING, citations ARRAY<INT>")
+    plain = F.btrim(F.regexp_replace(reply, r"```(?:json)?", ""))
+    cited = F.transform(F.regexp_extract_all(plain, F.lit(r"\[(\d{1,9})\]"), 1), lambda x: x.cast("int"))
+    own = F.coalesce(got["answer"], plain)
+    return F.when(reply.isNotNull(), F.struct(own.alias("answer"), F.coalesce(got["citations"], F.when(got["answer"].isNull(), cited), F.array().cast("array<int>")).alias("citations")))
 
 
 def cut_at_stops(text: Column, stops: list[str]) -> Column:

@@ -108,18 +108,23 @@ def ewm_mean(df: DataFrame, group: str, order: Sequence[str], value: str, span:
     return narrow.groupBy(group).applyInPandas(run, f"{kinds}, ewm double")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, values: Sequence[str], strict: bool = False) -> DataFrame:
-    """left with the values of the last right row of the same `by` whose `on` is not after (strict: before) its
-    own. Union and carry forward: one exchange by `by`, no join. Of several right rows at one moment the
-    greatest values, in their order, hold; rows with null by or on get nulls."""
-    keep = F.struct(*[F.col(c) for c in left.columns])
-    seen = F.struct(*[F.col(c) for c in values])
-    a = left.select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(0 if strict else 1).alias("__side"), keep.alias("__l"), F.lit(None).cast(right.select(seen.alias("s")).schema["s"].dataType).alias("__r"))
-    b = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(F.col(by), F.col(on), F.lit(1 if strict else 0), F.lit(None).cast(left.select(keep.alias("s")).schema["s"].dataType), seen)
-    w = Window.partitionBy("__by").orderBy("__on", "__side", F.col("__r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionAll(b).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__l IS NOT NULL")
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, values: Sequence[str], strict: bool = False, slot: int = DAY_US) -> DataFrame:
+    """left with the values of the last right row of the same `by` whose `on`, a whole number, is not after (strict:
+    before) its own. Of several right rows at one moment the greatest values, in their order, hold; rows with null by
+    or on get nulls. Union and carry forward within slots of `on`; each slot takes the last row of those before it, so
+    that no task holds more than a slot of a key, however frequent it is."""
+    keep, seen = F.struct(*[F.col(c) for c in left.columns]), F.struct(F.col(on).alias("__on"), *[F.col(c) for c in values])
+    ltype, rtype = left.select(keep.alias("s")).schema["s"].dataType, right.select(seen.alias("s")).schema["s"].dataType
+    a = left.select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(0 if strict else 1).alias("__side"), keep.alias("__l"), F.lit(None).cast(rtype).alias("__r"))
+    b = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(F.col(by).alias("__by"), F.col(on).alias("__on"), F.lit(1 if strict else 0).alias("__side"), F.lit(None).cast(ltype).alias("__l"), seen.alias("__r"))
+    both = a.unionAll(b).withColumn("__slot", F.floor(F.col("__on") / slot))
+    before = Window.partitionBy("__by").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = both.groupBy("__by", "__slot").agg(F.max("__r").alias("m")).select(F.col("__by").alias("__b"), F.col("__slot").alias("__s"), F.max("m").over(before).alias("__a"))
+    w = Window.partitionBy("__by", "__slot").orderBy("__on", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    run = both.withColumn("__r", F.max("__r").over(w)).where("__l IS NOT NULL")
+    met = run.join(ahead, (F.col("__by") == F.col("__b")) & (F.col("__slot") == F.col("__s")), "left").withColumn("__r", F.coalesce("__r", "__a"))
     ok = F.col("__by").isNotNull() & F.col("__on").isNotNull()
-    return both.select("__l.*", *[F.when(ok, F.col(f"__r.{c}")).alias(f"{c}_asof") for c in values])
+    return met.select("__l.*", *[F.when(ok, F.col(f"__r.{c}")).alias(f"{c}_asof") for c in values])
 
 
 def daily_cumulative(df: DataFrame, key: str, ts: str = "ts") -> DataFrame:

@@ -199,6 +199,17 @@ def h24_json_and_stops(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.from_json("props", "k LONG").getField("k").alias("k"), V.cut_at_stops(F.col("props"), [":", "}"]).alias("head"))
 
 
+@R.add("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'see ' || event_type || ' [7] and [' || CAST(event_id AS VARCHAR) || ']' END AS answer, CASE WHEN event_id % 2 = 0 THEN '3 5' ELSE '7 ' || CAST(event_id AS VARCHAR) END AS citations FROM events")
+def h26_json_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of two forms: JSON in a fence between other braces, and plain text with citations in brackets."""
+    kind, key = F.col("event_type"), F.col("event_id").cast("string")
+    fenced = F.concat(F.lit("I {think} so: ```json\n{\"answer\": \""), kind, F.lit("\", \"citations\": [3, 5]}\n``` and {\"answer\": \"no\"}"))
+    plain = F.concat(F.lit("see "), kind, F.lit(" [7] and ["), key, F.lit("]"))
+    reply = F.when(F.col("event_id") % 2 == 0, fenced).otherwise(plain)
+    got = table(spark, d, "events").select("event_id", V.json_answer(reply).alias("x"))
+    return got.select("event_id", "x.answer", F.array_join(F.transform("x.citations", lambda c: c.cast("string")), " ").alias("citations"))
+
+
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
     # the folder holds other tables too: the glob takes this one only, a file or a folder of files
     return spark.readStream.schema(table(spark, d, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/{name}.parquet*")

@@ -151,6 +151,33 @@ def test_samples_and_encoders(spark):
     assert E.tree_edges(x, "x", "y", 2) == [3.0] and E.tree_edges(x.limit(0), "x", "y", 4) == []
 
 
+def test_neighbours_across_the_meridian(spark):
+    rows = [(1, 0.0, 179.99), (2, 0.0, -179.99), (3, 0.0, 179.5), (4, 60.0, 179.99), (5, 60.01, -179.97), (6, None, 1.0), (7, 89.99, 0.0), (8, 89.99, 180.0)]
+    df = spark.createDataFrame(rows, "k int, la double, lo double")
+    got = {r.k: r.n for r in E.radius_neighbours(df, "k", "la", "lo", 5000).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1, 7: 1, 8: 1}
+
+
+def test_asof_over_slots_against_brute_force(spark):
+    rng = random.Random(7)
+    right = [(rng.choice("ab"), rng.randrange(60), rng.randrange(5)) for _ in range(40)] + [("a", None, 1), (None, 3, 1)]
+    left = [(i, rng.choice(["a", "b", "c", None]), rng.randrange(70)) for i in range(40)] + [(99, "a", None)]
+    for strict in (False, True):
+        out = T.asof_join(spark.createDataFrame(left, "id int, k string, t long"), spark.createDataFrame(right, "k string, t long, v int"), "k", "t", ["v"], strict, slot=7)
+        got = {r.id: r.v_asof for r in out.collect()}
+        for i, k, t in left:
+            own = [(x, v) for e, x, v in right if k and t is not None and e == k and x is not None and (x < t or (x == t and not strict))]
+            assert got[i] == (max(own)[1] if own else None)
+
+
+def test_json_answers(spark):
+    from millrace.operators.retrieval import json_answer
+
+    rows = [(1, 'x {a} {"answer": "yes", "citations": [2]} {"answer": "no"}'), (2, "plain [1] text [22]"), (3, None), (4, ""), (5, '```json\n{"answer": null}\n```'), (6, '{"a": {"answer": "deep"}}')]
+    got = {r.id: r.x and (r.x.answer, r.x.citations) for r in spark.createDataFrame(rows, "id int, t string").select("id", json_answer(F.col("t")).alias("x")).collect()}
+    assert got[1] == ("yes", [2]) and got[2] == ("plain [1] text [22]", [1, 22]) and got[3] is None and got[4] == ("", []) and got[5][1] == [] and got[6][1] == []
+
+
 def test_streams_drop_late_rows_of_closed_windows(spark):
     path = named_folder(spark, "stream-in")
     at = lambda d, h=0: datetime(2024, 1, d, h)
