@@ -221,3 +221,33 @@ def trailing_mean_before(df: DataFrame, group: str, us: str, key: str, value: st
     then key; null for a group's first row. The row before is taken within the group."""
     inner = Window.partitionBy(group).orderBy(us).rangeBetween(-period_us, 0)
     return df.withColumn("__m", F.avg(value).over(inner)).withColumn(f"{value}_before", F.lag("__m").over(Window.partitionBy(group).orderBy(us, key))).drop("__m")
+
+
+def repeated_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose values of the columns (null a value) more than one row has, with `copies`. Values are counted and
+    joined back, so that no group of copies is one task's."""
+    n = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.struct(*columns).alias("__k"), "copies")
+    return df.withColumn("__v", F.struct(*columns)).join(n, F.col("__v").eqNullSafe(F.col("__k"))).drop("__v", "__k")
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The first row of each key, null a value, in an order that should name all that differs."""
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__k", k).where(F.col("__k") == 1).drop("__k")
+
+
+def cold_report(log: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """seen (distinct items of the log), known (of these in the item table) and cold."""
+    known = items.select(item, F.lit(1).alias("k")).where(F.col(item).isNotNull()).distinct()
+    seen = log.select(item).where(F.col(item).isNotNull()).distinct().join(known, item, "left")
+    return seen.agg(F.count(F.lit(1)).alias("seen"), F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("cold"))
+
+
+def run_overlaps(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """a, b, common: for every two runs (a < b) the distinct keys, without nulls, that both have. Each key gives its runs
+    as one array, whose pairs are counted: as many as there are runs squared at most."""
+    own = runs.dropna(subset=list(keys)).groupBy(*keys).agg(F.array_sort(F.collect_set("run")).alias("r"))
+    pairs = own.select(F.explode("r").alias("a"), "r").select("a", F.explode("r").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    names = runs.select("run").distinct()
+    every = names.select(F.col("run").alias("a")).join(names.select(F.col("run").alias("b")), F.col("a") < F.col("b"))
+    return every.join(pairs, ["a", "b"], "left").fillna(0, ["common"])

@@ -248,3 +248,41 @@ def sequence_features(queries: DataFrame, log: DataFrame, max_len: int = 100, la
         F.round(F.coalesce(F.stddev_samp("gap"), F.lit(0.0)), 3).alias("gap_std_s"), F.count_distinct(F.when(F.col("k") <= last_k, F.col("item_id"))).alias("last_items"),
     )
     return q.select("query_id").join(out, "query_id", "left").fillna(0)
+
+
+def capped_sessions(df: DataFrame, actor: str, us: str, key: str, gap_us: int = 1_800_000_000, most: int = 200) -> DataFrame:
+    """actor, no (the session, from 0), piece (from 0), start_us, n: sessions by gaps of over gap_us, cut after every
+    `most` events in the order of time, then key."""
+    w = Window.partitionBy(actor).orderBy(us, key)
+    new = F.when(F.col(us) - F.lag(us).over(w) > gap_us, 1).otherwise(0)
+    s = df.where(F.col(actor).isNotNull() & F.col(us).isNotNull()).withColumn("__new", new).withColumn("no", F.sum("__new").over(w))
+    piece = F.floor((F.row_number().over(Window.partitionBy(actor, "no").orderBy(us, key)) - 1) / most)
+    return s.withColumn("piece", piece).groupBy(actor, "no", "piece").agg(F.min(us).alias("start_us"), F.count(F.lit(1)).alias("n"))
+
+
+def session_lengths(df: DataFrame, session: str) -> DataFrame:
+    """sessions, p50, p90 and longest of the rows of each session that is not null."""
+    n = df.where(F.col(session).isNotNull()).groupBy(session).agg(F.count(F.lit(1)).alias("n"))
+    p50, p90 = quantiles(n, "n", [0.5, 0.9]) or (None, None)
+    return n.agg(F.count(F.lit(1)).alias("sessions"), F.lit(p50).cast("double").alias("p50"), F.lit(p90).cast("double").alias("p90"), F.max("n").alias("longest"))
+
+
+def coverage(df: DataFrame, ts: str, recent: Sequence[int] = (7, 30)) -> DataFrame:
+    """span_days from first to last day, missing_days without a row, busiest day's rows, and recent_{d}, the share of rows
+    in the d days up to the last."""
+    x = df.where(F.col(ts).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    last = x.agg(F.max("day")).scalar()
+    shares = [(F.sum(F.when(F.col("day") > F.date_sub(F.col("last"), d), F.col("n")).otherwise(0)) / F.sum("n")).alias(f"recent_{d}") for d in recent]
+    s = x.withColumn("last", last).agg((F.datediff(F.max("day"), F.min("day")) + 1).cast("long").alias("span_days"), F.count(F.lit(1)).alias("days"), F.max("n").alias("busiest"), *shares)
+    return s.select("span_days", (F.col("span_days") - F.col("days")).alias("missing_days"), "busiest", *[f"recent_{d}" for d in recent])
+
+
+def date_parts(ts: Column) -> dict[str, Column]:
+    """year to minute, weekday (0 Monday), day of year, ISO week, quarter, weekend, first and last day of a month, part of
+    day (0 from midnight, by six hours), and sine and cosine of month, weekday and hour as turns of a circle."""
+    hour, month, day = F.hour(ts), F.month(ts), F.weekday(ts)
+    plain = {"year": F.year(ts), "month": month, "day": F.dayofmonth(ts), "hour": hour, "minute": F.minute(ts), "weekday": day, "day_of_year": F.dayofyear(ts), "week": F.weekofyear(ts), "quarter": F.quarter(ts)}
+    flags = {"weekend": (day >= 5).cast("int"), "month_start": (F.dayofmonth(ts) == 1).cast("int"), "month_end": (F.last_day(ts) == F.to_date(ts)).cast("int"), "part_of_day": F.floor(hour / 6).cast("int")}
+    turns = {"month": (month - 1, 12), "weekday": (day, 7), "hour": (hour, 24)}
+    circle = {f"{k}_{n}": f(2 * F.pi() * x / size) for k, (x, size) in turns.items() for n, f in (("sin", F.sin), ("cos", F.cos))}
+    return plain | flags | circle

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import blocks as B
 from millrace.operators import encoders as E
 from millrace.operators import quality as Q
+from millrace.operators import summaries as U
 from millrace.operators import timeline as T
 from millrace.plans.registry import Registry
 from millrace.sources.tables import table
@@ -212,41 +214,45 @@ def d2_value_counts(spark: SparkSession, d: str) -> DataFrame:
     return r6(E.value_counts(_orders(spark, d), "c"), "share", digits=9)
 
 
-@R.add("SELECT category, brand, count(*) AS copies FROM tiny_items GROUP BY ALL HAVING count(*) > 1")
+@R.add("WITH n AS (SELECT *, count(*) OVER (PARTITION BY category, brand) AS n FROM tiny_items) SELECT item_id, category, brand, CAST(n AS BIGINT) AS copies FROM n WHERE n > 1")
 def g3_repeated(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tiny_items").groupBy("category", "brand").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    """Every row of which category and brand are repeated, with how often they are."""
+    return U.repeated_rows(table(spark, d, "tiny_items").select("item_id", "category", "brand"), ["category", "brand"])
 
 
-@R.add("SELECT DISTINCT query_id, item_id, ts_query IS NULL AS undated, label FROM tiny_pairs_train")
+@R.add("WITH k AS (SELECT *, row_number() OVER (PARTITION BY query_id, item_id ORDER BY ts_query NULLS LAST, label NULLS LAST) AS k FROM tiny_pairs_train) SELECT query_id, item_id, epoch_us(ts_query) AS us, label FROM k WHERE k = 1")
 def g2_distinct_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "tiny_pairs_train").select("query_id", "item_id", F.col("ts_query").isNull().alias("undated"), "label").dropDuplicates()
+    """One row for each pair: the earliest, then the least label."""
+    out = U.first_rows(table(spark, d, "tiny_pairs_train"), ["query_id", "item_id"], [F.col("ts_query").asc_nulls_last(), F.col("label").asc_nulls_last()])
+    return out.select("query_id", "item_id", F.unix_micros("ts_query").alias("us"), "label")
 
 
 @R.add("WITH a AS (SELECT DISTINCT item_id FROM tiny_interactions WHERE item_id IS NOT NULL), b AS (SELECT DISTINCT item_id FROM tiny_items WHERE item_id IS NOT NULL) SELECT (SELECT count(*) FROM a) AS seen, (SELECT count(*) FROM a SEMI JOIN b USING (item_id)) AS known, (SELECT count(*) FROM a ANTI JOIN b USING (item_id)) AS cold")
 def c12_cold_items(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "tiny_items").select("item_id", F.lit(1).alias("k")).where("item_id IS NOT NULL").distinct()
-    seen = table(spark, d, "tiny_interactions").select("item_id").where("item_id IS NOT NULL").distinct().join(known, "item_id", "left")
-    return seen.agg(F.count(F.lit(1)).alias("seen"), F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("cold"))
+    return U.cold_report(table(spark, d, "tiny_interactions"), table(spark, d, "tiny_items"), "item_id")
 
 
-@R.add("WITH p AS (SELECT query_id, item_id FROM tiny_predictions WHERE item_id IS NOT NULL), t AS (SELECT query_id, item_id FROM tiny_pairs_train), u AS (SELECT 'predictions' AS a, 'pairs' AS b, count(*) AS common FROM (SELECT DISTINCT * FROM p INTERSECT SELECT DISTINCT * FROM t)) SELECT * FROM u")
+_KEYS = "k AS (SELECT DISTINCT 'predictions' AS run, query_id, item_id FROM tiny_predictions UNION ALL SELECT DISTINCT 'pairs', query_id, item_id FROM tiny_pairs_train UNION ALL SELECT DISTINCT 'ranker', query_id, item_id FROM ranker_x_train), r AS (SELECT DISTINCT run FROM k)"
+
+
+@R.add(f"WITH {_KEYS} SELECT a.run AS a, b.run AS b, (SELECT count(*) FROM k x JOIN k y ON x.query_id = y.query_id AND x.item_id = y.item_id WHERE x.run = a.run AND y.run = b.run) AS common FROM r a JOIN r b ON a.run < b.run")
 def c21_overlap(spark: SparkSession, d: str) -> DataFrame:
-    p, t = (table(spark, d, n).select("query_id", "item_id") for n in ("tiny_predictions", "tiny_pairs_train"))
-    return p.where("item_id IS NOT NULL").intersect(t).agg(F.lit("predictions").alias("a"), F.lit("pairs").alias("b"), F.count(F.lit(1)).alias("common"))
+    of = lambda run, name: table(spark, d, name).select(F.lit(run).alias("run"), "query_id", "item_id")
+    runs = of("predictions", "tiny_predictions").unionByName(of("pairs", "tiny_pairs_train")).unionByName(of("ranker", "ranker_x_train"))
+    return U.run_overlaps(runs, ["query_id", "item_id"])
 
 
-@R.add("WITH f AS (SELECT query_id, item_id, max(CASE WHEN isnan(f1) OR isinf(f1) THEN NULL ELSE f1 END) AS f1 FROM ranker_x_train GROUP BY ALL), p AS (SELECT query_id, item_id, max(label) AS label FROM tiny_pairs_train GROUP BY ALL) SELECT p.query_id, p.item_id, p.label, CAST(coalesce(f1, 0) AS FLOAT) AS f1 FROM p LEFT JOIN f ON f.query_id = p.query_id AND f.item_id = p.item_id")
+@R.add("WITH f AS (SELECT query_id, item_id, max(CASE WHEN isnan(f1) OR isinf(f1) THEN NULL ELSE f1 END) AS f1 FROM ranker_x_train GROUP BY ALL), p AS (SELECT query_id, item_id, max(label) AS label FROM tiny_pairs_train GROUP BY ALL) SELECT p.query_id, p.item_id, coalesce(p.label, 0) AS label, CAST(coalesce(f1, 0) AS FLOAT) AS f1 FROM p LEFT JOIN f ON f.query_id = p.query_id AND f.item_id = p.item_id")
 def c1_feature_join(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "ranker_x_train").groupBy("query_id", "item_id").agg(F.max(E.finite("f1")).alias("f1"))
     p = table(spark, d, "tiny_pairs_train").groupBy("query_id", "item_id").agg(F.max("label").alias("label"))
-    return p.join(f, ["query_id", "item_id"], "left").withColumn("f1", F.coalesce("f1", F.lit(0.0)).cast("float"))
+    return B.plain_types(B.joined_blocks([p, f]))
 
 
 @R.add("WITH x AS (SELECT l_orderkey, date_trunc('week', l_shipdate) AS w, l_extendedprice AS y FROM lineitem) SELECT strftime(w, '%Y-%m-%d') AS week, count(*) AS n, round(avg(y), 3) AS mean, round(median(y), 3) AS median FROM x GROUP BY w")
 def d18_by_week(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem").withColumn("week", F.date_format(F.date_trunc("week", "l_shipdate"), "yyyy-MM-dd"))
-    s = E.group_stats(x, ["week"], "l_extendedprice")
-    return r6(s.select("week", "n", "mean", "median"), "mean", "median", digits=3)
+    week = F.date_format(F.date_trunc("week", "l_shipdate"), "yyyy-MM-dd").alias("week")
+    return r6(U.target_by(table(spark, d, "lineitem"), [week], "l_extendedprice").drop("std"), "mean", "median", digits=3)
 
 
 @R.add("SELECT c_custkey, CASE WHEN c_acctbal > -1 THEN round(ln(1 + c_acctbal), 9) END AS log1p, round(sqrt(greatest(c_acctbal, 0)), 9) AS root, round(1 / (1 + exp(-c_acctbal / 5000)), 9) AS sigmoid, c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS crossed FROM customer")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import timeline as T
-from millrace.operators.quality import quantiles
 from millrace.plans.registry import Registry
 from millrace.sources.frames import CLICKS, INTER, adapt_interactions, clicks, interactions
 from millrace.sources.tables import table
@@ -52,18 +51,12 @@ def e22_time_folds(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"WITH {CLICKS}, l AS (SELECT *, CASE WHEN us - lag(us) OVER w > 1800000000 THEN 1 ELSE 0 END AS new FROM clicks WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS no FROM l), k AS (SELECT *, (row_number() OVER (PARTITION BY user_id, no ORDER BY us, event_id) - 1) // 5 AS piece FROM s) SELECT user_id, CAST(no AS BIGINT) AS no, CAST(piece AS BIGINT) AS piece, min(us) AS start_us, count(*) AS n FROM k GROUP BY ALL")
 def e2_capped_sessions(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("us", "event_id")
-    new = F.when(F.col("us") - F.lag("us").over(w) > 1_800_000_000, 1).otherwise(0)
-    s = clicks(spark, d).withColumn("new", new).withColumn("no", F.sum("new").over(w))
-    piece = F.floor((F.row_number().over(Window.partitionBy("user_id", "no").orderBy("us", "event_id")) - 1) / 5)
-    return s.withColumn("piece", piece).groupBy("user_id", "no", "piece").agg(F.min("us").alias("start_us"), F.count(F.lit(1)).alias("n"))
+    return T.capped_sessions(clicks(spark, d), "user_id", "us", "event_id", most=5)
 
 
 @R.add(f"WITH {INTER}, n AS (SELECT session_id, count(*) AS n FROM inter GROUP BY 1) SELECT count(*) AS sessions, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, max(n) AS longest FROM n")
 def d22_session_lengths(spark: SparkSession, d: str) -> DataFrame:
-    n = interactions(spark, d).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    p50, p90 = quantiles(n, "n", [0.5, 0.9])
-    return n.agg(F.count(F.lit(1)).alias("sessions"), F.lit(p50).alias("p50"), F.lit(p90).alias("p90"), F.max("n").alias("longest"))
+    return T.session_lengths(interactions(spark, d), "session_id")
 
 
 @R.add(f"WITH {CLICKS} SELECT event_id, lag(value, 1) OVER w AS value_lag1, lag(value, 7) OVER w AS value_lag7 FROM clicks WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)")
@@ -134,22 +127,17 @@ def r4_sequence(spark: SparkSession, d: str) -> DataFrame:
     return T.sequence_features(q, i)
 
 
-@R.add(f"WITH {CLICKS}, x AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM clicks GROUP BY 1), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM x) SELECT (SELECT count(*) FROM c) AS span_days, (SELECT count(*) FROM c ANTI JOIN x USING (day)) AS missing_days, (SELECT max(n) FROM x) AS busiest")
+@R.add(f"WITH {CLICKS}, x AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM clicks GROUP BY 1), c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM x) SELECT (SELECT count(*) FROM c) AS span_days, (SELECT count(*) FROM c ANTI JOIN x USING (day)) AS missing_days, (SELECT max(n) FROM x) AS busiest, (SELECT round(sum(n) FILTER (day > (SELECT max(day) FROM x) - 7) / sum(n), 9) FROM x) AS recent_7")
 def e21_coverage(spark: SparkSession, d: str) -> DataFrame:
-    x = clicks(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    s = x.agg((F.datediff(F.max("day"), F.min("day")) + 1).cast("long").alias("span_days"), F.count(F.lit(1)).alias("days"), F.max("n").alias("busiest"))
-    return s.select("span_days", (F.col("span_days") - F.col("days")).alias("missing_days"), "busiest")
+    return T.coverage(clicks(spark, d), "ts", [7]).withColumn("recent_7", F.round("recent_7", 9))
 
 
-_PARTS = "year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, isodow(ts) - 1 AS wd, dayofyear(ts) AS doy, week(ts) AS w, quarter(ts) AS q"
+_PARTS = "year(ts) AS year, month(ts) AS month, day(ts) AS day, hour(ts) AS hour, minute(ts) AS minute, isodow(ts) - 1 AS weekday, dayofyear(ts) AS day_of_year, week(ts) AS week, quarter(ts) AS quarter"
+_TURNS = ", ".join(f"round({f}(2 * pi() * {x} / {n}), 6) AS {k}_{f}" for k, x, n in (("month", "(month(ts) - 1)", 12), ("weekday", "(isodow(ts) - 1)", 7), ("hour", "hour(ts)", 24)) for f in ("sin", "cos"))
 
 
-@R.add(f"WITH {CLICKS} SELECT event_id, {_PARTS}, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS weekend, CASE WHEN last_day(ts) = CAST(ts AS DATE) THEN 1 ELSE 0 END AS month_end, CASE WHEN hour(ts) < 6 THEN 0 WHEN hour(ts) < 12 THEN 1 WHEN hour(ts) < 18 THEN 2 ELSE 3 END AS part_of_day, round(sin(2 * pi() * hour(ts) / 24), 6) AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS hour_cos FROM clicks")
+@R.add(f"WITH {CLICKS} SELECT event_id, {_PARTS}, CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS weekend, CASE WHEN day(ts) = 1 THEN 1 ELSE 0 END AS month_start, CASE WHEN last_day(ts) = CAST(ts AS DATE) THEN 1 ELSE 0 END AS month_end, CAST(hour(ts) // 6 AS INT) AS part_of_day, {_TURNS} FROM clicks")
 def h11_date_parts(spark: SparkSession, d: str) -> DataFrame:
-    c = clicks(spark, d)
-    parts = {"y": F.year, "m": F.month, "d": F.dayofmonth, "h": F.hour, "mi": F.minute, "wd": F.weekday, "doy": F.dayofyear, "w": F.weekofyear, "q": F.quarter}
-    hour = F.hour("ts")
-    return c.select(
-        "event_id", *[f("ts").cast("long").alias(k) for k, f in parts.items()], (F.weekday("ts") >= 5).cast("int").alias("weekend"), (F.last_day("ts") == F.to_date("ts")).cast("int").alias("month_end"),
-        F.when(hour < 6, 0).when(hour < 12, 1).when(hour < 18, 2).otherwise(3).alias("part_of_day"), F.round(F.sin(2 * F.pi() * hour / 24), 6).alias("hour_sin"), F.round(F.cos(2 * F.pi() * hour / 24), 6).alias("hour_cos"),
-    )
+    parts = T.date_parts(F.col("ts"))
+    whole = ["year", "month", "day", "hour", "minute", "weekday", "day_of_year", "week", "quarter"]
+    return clicks(spark, d).select("event_id", *[F.round(c, 6).alias(k) if k.endswith(("_sin", "_cos")) else c.cast("long").alias(k) if k in whole else c.alias(k) for k, c in parts.items()])
