@@ -4,8 +4,9 @@ Texts are tokenised into shape masks (digit, letter, other bytes as they are); e
 to a parser once, and all texts of one mask are then converted together on byte matrices. Wall time goes
 through the versioned tables of millrace.functions.zones.
 
-Results: outer blanks mean nothing; a zone or offset in the text holds, else the row's zone, else UTC. Null,
-empty, unreadable or over-long text, an unknown zone that is needed, and dates or times that do not exist
+Results: outer blanks mean nothing; a zone or offset in the text holds, else the row's zone, else UTC. Texts of over
+MAX_BYTES bytes are shortened first by what means nothing, digits beyond microseconds and remarks after an offset; no
+notation is still longer, or shorter than 8 bytes. Null, empty or unreadable text, an unknown zone that is needed, and dates or times that do not exist
 (month 13, 30 February, 24:00, a second 60) give null.
 """
 
@@ -27,6 +28,8 @@ ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "CET": 1, "CEST": 2, "EST": -5, "ED
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 BLANKS = " \t\n\r\x0b\x0c                 　﻿"
 MAX_BYTES = 96
+# What can be long in a readable text: digits beyond microseconds, and a remark in brackets after an offset
+_LONG = [(re.compile(r"([.,][0-9]{6})[0-9]+"), r"\1"), (re.compile(r"([+-][0-9:]{4,5})\[[^\]]*\]$"), r"\1")]
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("0") : ord("9") + 1] = ord("9")
@@ -146,6 +149,16 @@ def to_micros(texts: pa.Array, zones: pa.Array, tables: ZoneTables) -> pa.Array:
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     sizes = np.diff(offsets)
     sizes = np.where(np.asarray(texts.is_valid()), sizes, 0)
+    over = np.flatnonzero(sizes > MAX_BYTES)
+    if len(over):  # the few long ones by themselves, shortened
+        short = []
+        for text in texts.take(pa.array(over)).to_pylist():
+            for pattern, to in _LONG:
+                text = pattern.sub(to, text)
+            short.append(text if len(text.encode()) <= MAX_BYTES else None)
+        own = to_micros(pa.array(short, pa.string()), coded.take(pa.array(over)).cast(pa.string()), tables)
+        good[over] = np.asarray(own.is_valid())
+        out[over] = np.asarray(own.fill_null(0))
     for size in np.unique(sizes):
         if not 8 <= size <= MAX_BYTES:
             continue

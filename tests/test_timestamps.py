@@ -29,6 +29,9 @@ def us(*parts):
     [
         ("2024-01-02T03:04:05.678901Z", "Asia/Tokyo", us(2024, 1, 2, 3, 4, 5, 678901)),
         ("2024-01-02T03:04:05.678901999Z", None, us(2024, 1, 2, 3, 4, 5, 678901)),
+        ("2024-01-02T03:04:05." + "678901" * 400 + "Z", "Asia/Tokyo", us(2024, 1, 2, 3, 4, 5, 678901)),
+        ("2024-01-02 03:04:05," + "5" * 200, "Asia/Kolkata", us(2024, 1, 1, 21, 34, 5, 555555)),
+        ("2024-01-02T03:04:05+01:00[" + "x" * 150 + "]", None, us(2024, 1, 2, 2, 4, 5)),
         ("2024-01-02 03:04:05", None, us(2024, 1, 2, 3, 4, 5)),
         ("2024-01-02 03:04:05", "Asia/Kolkata", us(2024, 1, 1, 21, 34, 5)),
         ("2024-01-02 03:04:05,5", "UTC", us(2024, 1, 2, 3, 4, 5, 500000)),
@@ -64,6 +67,12 @@ def test_unreadable(text):
     assert read(text, "UTC") is None
 
 
+def test_long_texts_among_others():
+    texts = ["2024-01-02 03:04:05", "x" * 5000, None, "2024-01-02 03:04:05." + "1" * 99, "7" * 300]
+    got = to_micros(pa.array(texts, pa.string()), pa.array(["UTC", None, None, "Europe/Berlin", None], pa.string()), Z).to_pylist()
+    assert got == [us(2024, 1, 2, 3, 4, 5), None, None, us(2024, 1, 2, 2, 4, 5, 111111), None]
+
+
 def test_unknown_zone_matters_only_for_wall_time():
     assert read("2024-01-02 03:04:05", "Mars/Olympus") is None
     assert read("2024-01-02T03:04:05Z", "Mars/Olympus") == us(2024, 1, 2, 3, 4, 5)
