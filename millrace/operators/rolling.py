@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut
+from millrace.session import materialised
 
 DAY_US = 86_400_000_000
 
@@ -55,7 +55,7 @@ def trailing_totals(
         leaves = known & (gap_after.isNull() | (gap_after >= p))
         deltas.append(F.when(leaves, at(p, **{f"u{p}": F.lit(-1)})))
     daily = by_actor.select("e", F.explode(F.array_compact(F.array(*deltas))).alias("x")).select("e", "x.*").groupBy("e", "d")
-    daily = cut(daily.agg(*[F.sum(c).alias(c) for c in names]))
+    daily = materialised(daily.agg(*[F.sum(c).alias(c) for c in names]), "daily")
 
     spans = daily.where("n > 0").groupBy("e").agg(F.min("d").alias("first"), F.max("d").alias("last"))
     spark = events.sparkSession

@@ -64,8 +64,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """df written as a parquet table of its own folder in the shared one, and read back: for tables of many columns
-    of which later steps read few, which keep their statistics."""
+    """df written as a parquet table of its own folder in the shared one, and read back: for tables that compress well,
+    or of whose columns later steps read few. It stays until clear_tables."""
     path = named_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_tables: list[str] = []
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the tables that this program has materialised, once no result that reads them is still to be computed."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
