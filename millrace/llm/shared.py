@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.splits import attached
-from millrace.session import cut
+from millrace.session import cut, materialised
 
 DEPTH = 2
 MAX_BITS = 28
@@ -218,10 +218,6 @@ def _met(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     return near.unionByName(rows.join(F.broadcast(hot.select("h")), "h", "left_anti").join(classes.where(F.col("n") <= least), "h"))
 
 
-def _number(h: Column, k: int) -> Column:
-    return F.shiftrightunsigned(h, 24 * k).bitwiseAND(F.lit((1 << 24) - 1))
-
-
 def shared_classes(docs: DataFrame, doc_id: str, text: str, length: int = 300, bits: int | None = None) -> DataFrame:
     """`class`, `members`, `doc_id`: groups of records that all hold one window of `length` code points. Any two
     records that have a stretch of that length in common are in a class together, and no others are. Neighbouring
@@ -231,31 +227,27 @@ def shared_classes(docs: DataFrame, doc_id: str, text: str, length: int = 300, b
     record; other columns are ignored.
 
     Method: count-min prefilter (repeated_windows), then exact groups of the windows estimated repeated. Of windows
-    that follow each other in their record of least id and have the same records (their number and four sums of
-    24 bits of their ids' hashes) the first stays. Its text in every record is compared with that in the least one;
-    records of another text of one hash are classes by their text.
+    that follow each other in their record of least id and have the same records (their number, and a sum of 24 bits
+    and the exclusive or of 64 bits of their ids' hashes) the first stays. Its text is taken from every record, and a
+    class is the records whose texts have one SHA-256 digest beside the window's hash.
     """
-    windows = cut(repeated_windows(docs, doc_id, text, length, bits).where("first").select("id", "pos", "h"))
+    windows = materialised(repeated_windows(docs, doc_id, text, length, bits).where("first").select("id", "pos", "h"), "windows")
     total = windows.count()
-    k = {s: F.xxhash64("id", F.lit(s)) for s in (3, 7)}
-    sums = [F.sum(_number(k[s], i)).alias(f"s{s}{i}") for s in k for i in (0, 1)]
-    classes = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("lead"), F.max("id").alias("last"), *sums).where("lead.id < last")
+    k = F.xxhash64("id", F.lit(3))
+    sums = [F.sum(k.bitwiseAND(F.lit((1 << 24) - 1))).alias("s"), F.bit_xor(k).alias("x")]
+    classes = windows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("lead"), *sums).where("n > 1")
     w = Window.partitionBy("lead.id").orderBy("lead.pos")
     same = F.col("lead.pos") == F.lag("lead.pos").over(w) + 1
-    for c in ("n", "s30", "s31", "s70", "s71"):
+    for c in ("n", "s", "x"):
         same = same & (F.col(c) == F.lag(c).over(w))
-    heads = cut(classes.withColumn("same", F.coalesce(same, F.lit(False))).where(~F.col("same")).select("h", "n", F.col("lead.id").alias("lead"), F.col("lead.pos").alias("lead_pos")))
-    at = lambda p: F.substring("text", F.col(p) + 1, F.lit(length))
-    texts = _texts(docs, doc_id, text, length)
-    leads = heads.join(texts.withColumnRenamed("id", "lead"), "lead").groupBy("h", "n").agg(F.min(at("lead_pos")).alias("s"))
-    members = _met(windows, heads.select("h", "n"), total).select("h", "id", "pos").distinct()
-    own = members.join(texts, "id").select("h", "id", at("pos").alias("own"))
-    both = _met(own, cut(leads), total)
-    both = cut(both.select("h", "id", F.when(F.col("own") != F.col("s"), F.col("own")).alias("other")).distinct())
-    sizes = both.groupBy("h", "other").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    sizes = cut(sizes.select("h", F.coalesce("other", F.lit("")).alias("other"), F.monotonically_increasing_id().alias("class"), "members", F.col("members").alias("n")))
-    joined = _met(both.withColumn("other", F.coalesce("other", F.lit(""))), sizes.withColumnRenamed("other", "o"), total).where("other = o")
-    return joined.select("class", "members", F.col("id").alias(doc_id))
+    heads = cut(classes.withColumn("same", F.coalesce(same, F.lit(False))).where(~F.col("same")).select("h", "n"))
+    members = _met(windows, heads, total).select("h", "id", "pos").distinct()
+    digest = F.unhex(F.sha2(F.substring("text", F.col("pos") + 1, F.lit(length)), 256))
+    own = members.join(_texts(docs, doc_id, text, length), "id").select("h", "id", digest.alias("digest"))
+    own = cut(own.distinct())
+    sizes = own.groupBy("h", "digest").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = cut(sizes.select("h", F.col("digest").alias("d"), F.monotonically_increasing_id().alias("class"), "members", F.col("members").alias("n")))
+    return _met(own, sizes, total).where("digest = d").select("class", "members", F.col("id").alias(doc_id))
 
 
 def pairs_within(classes: DataFrame, item: str, block: int = 512) -> DataFrame:
@@ -288,7 +280,7 @@ def shared_stretches(docs: DataFrame, doc_id: str, text: str, length: int = 300,
     different texts of one id have stretches of their own. The texts of a stretch and of the other record are compared;
     where windows of one hash differ, the stretch is cut to those that agree.
     """
-    windows = cut(repeated_windows(docs, doc_id, text, length, bits).distinct())
+    windows = materialised(repeated_windows(docs, doc_id, text, length, bits).distinct(), "windows")
     total = windows.count()
     place = F.struct("id", "pos", "v")
     classes = windows.where("first").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("low"), F.max(place).alias("high")).where("low.id < high.id")
