@@ -273,11 +273,14 @@ def grid_cell(lat: Column, lon: Column, step_m: float) -> tuple[Column, Column]:
 
 
 def radius_neighbours(df: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:
-    """key, n: the other points within radius_m. Equal-key join on latitude bands and longitude cells: each point asks
-    its own and the bordering cells, whose width is taken at the widest of its three bands; the last cell of a band
+    """key, n: the points of other keys within radius_m, one row a key. Points of one place are counted first, so that
+    only places meet, however many points they hold. Equal-key join on latitude bands and longitude cells: each place
+    asks its own and the bordering cells, whose width is taken at the widest of its three bands; the last cell of a band
     borders on the first, across the 180th meridian, and bands at the poles are one cell."""
     step = radius_m / 111_000.0
-    p = df.select(F.col(key).alias("k"), F.col(lat).alias("la"), F.col(lon).alias("lo")).where("la IS NOT NULL AND lo IS NOT NULL")
+    points = df.select(F.col(key).alias("k"), F.col(lat).cast("double").alias("la"), F.col(lon).cast("double").alias("lo")).where("la IS NOT NULL AND lo IS NOT NULL")
+    points = points.groupBy("k", "la", "lo").agg(F.count(F.lit(1)).alias("m"))
+    p = points.where("k IS NOT NULL").groupBy("la", "lo").agg(F.sum("m").alias("w"))
     band = F.floor(F.col("la") / step).cast("long")
     least = lambda b: F.least(F.cos(F.radians(b * step)), F.cos(F.radians((b + 1) * step)))
     # near the poles a radius spans any longitudes: one cell
@@ -288,6 +291,12 @@ def radius_neighbours(df: DataFrame, key: str, lat: str, lon: str, radius_m: flo
     ask = p.withColumn("b", F.explode(F.array(band - 1, band, band + 1)))
     near = F.transform(F.array(*[F.lit(x) for x in range(-2, 3)]), lambda x: F.pmod(cell(F.col("b")) + x, cells(F.col("b"))))
     ask = ask.withColumn("c", F.explode(F.array_distinct(near)))
-    other = own.select(F.col("k").alias("k2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "b", "c")
-    met = ask.join(other, ["b", "c"]).where((F.col("k") != F.col("k2")) & (haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_m))
-    return p.select(F.col("k").alias(key)).join(met.groupBy(F.col("k").alias(key)).agg(F.count_distinct("k2").alias("n")), key, "left").fillna(0, ["n"])
+    within = haversine(F.col("la"), F.col("lo"), F.col("la2"), F.col("lo2")) <= radius_m
+    other = own.select(F.col("w").alias("w2"), F.col("la").alias("la2"), F.col("lo").alias("lo2"), "b", "c")
+    near = ask.join(other, ["b", "c"]).where(within).groupBy("la", "lo").agg(F.sum("w2").alias("near"))
+    total = points.join(near, ["la", "lo"], "left").groupBy("k").agg(F.sum(F.col("m") * F.coalesce("near", F.lit(0))).alias("n"))
+    # less the pairs of a key's own points
+    mine = points.select("k", F.col("la").alias("la2"), F.col("lo").alias("lo2"), F.col("m").alias("m2"))
+    same = points.join(mine, "k").where(within).groupBy("k").agg(F.sum(F.col("m") * F.col("m2")).alias("s"))
+    n = F.when(F.col("k").isNull(), 0).otherwise(F.col("n") - F.coalesce("s", F.lit(0)))
+    return total.join(same, "k", "left").select(F.col("k").alias(key), n.cast("long").alias("n"))

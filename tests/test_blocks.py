@@ -158,6 +158,16 @@ def test_neighbours_across_the_meridian(spark):
     assert got == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1, 7: 1, 8: 1}
 
 
+def test_radius_counts_points_of_one_place_without_pairing_them(spark):
+    # 60 000 points on two near places: their pairs would be 3.6e9 rows
+    df = spark.range(60_000).selectExpr("id AS k", "45.0D + (id % 2) * 0.01D AS la", "7.0D AS lo")
+    got = E.radius_neighbours(df, "k", "la", "lo", 5000).selectExpr("count(*) AS c", "min(n) AS lo", "max(n) AS hi").first()
+    assert (got.c, got.lo, got.hi) == (60_000, 59_999, 59_999)
+    rows = [(1, 45.0, 7.0), (1, 45.0, 7.0), (1, 46.0, 7.0), (2, 45.0, 7.0), (3, 46.0, 7.0), (3, 46.0, 7.0), (None, 45.0, 7.0)]
+    got = {r.k: r.n for r in E.radius_neighbours(spark.createDataFrame(rows, "k int, la double, lo double"), "k", "la", "lo", 5000).collect()}
+    assert got == {1: 4, 2: 2, 3: 2, None: 0}  # pairs of points of different keys, as in SQL
+
+
 def test_asof_over_slots_against_brute_force(spark):
     rng = random.Random(7)
     right = [(rng.choice("ab"), rng.randrange(60), rng.randrange(5)) for _ in range(40)] + [("a", None, 1), (None, 3, 1)]
