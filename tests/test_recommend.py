@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
+from millrace.operators.ranking import best
 from millrace.plans import recommend as P
 
 
@@ -87,6 +88,19 @@ def test_walks_by_joins_equal_walks_beside_the_graph(spark, monkeypatch):
     assert set(beside) == set(joined) and all(abs(beside[k] - joined[k]) < 1e-12 for k in joined) and beside["q", 99] > 0
 
 
+def test_walks_leave_out_what_cannot_be_among_the_best(spark, monkeypatch):
+    rng = random.Random(8)
+    links = {tuple(rng.sample(range(40), 2)): rng.choice([1.0, 2.0]) for _ in range(300)} | {(50, i): 1.0 for i in range(60, 90)}
+    edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "item_i long, item_j long, w double")
+    seeds = spark.createDataFrame([(q, rng.randrange(40)) for q in range(30) for _ in range(3)] + [(30, 50), (31, 99), (31, 2)], "query_id long, item_id long")
+    top = lambda df: sorted((r.query_id, r["rank"], r.item_id, r.score) for r in best(df.withColumn("score", F.round("score", 9)), "query_id", "score", "item_id", 4).collect())
+    whole = top(C.personalised_rank(edges, seeds))
+    monkeypatch.setattr(C, "GATHERED", 7)  # links of an item in pieces
+    few = C.personalised_rank(edges, seeds, k=4, apart=2e-9)
+    assert top(few) == whole and few.count() < 32 * 8 < C.personalised_rank(edges, seeds).count()
+    assert [x[2] for x in whole if x[0] == 30] == [50, 60, 61, 62]  # 30 ties: the least items
+
+
 def test_negatives_come_from_all_items_by_weight(spark):
     items = spark.createDataFrame([(i, 1000.0 if i == 0 else 1.0) for i in range(2001)], "item_id long, weight double")
     own = {q: {2000 - q} for q in range(300)} | {"heavy": set(range(1994)), "all but two": set(range(1999))}
