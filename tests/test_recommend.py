@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
+from millrace.operators import models as M
+from millrace.operators import retrieval as V
 from millrace.operators.ranking import best
 from millrace.plans import recommend as P
 
@@ -101,6 +103,23 @@ def test_walks_leave_out_what_cannot_be_among_the_best(spark, monkeypatch):
     assert [x[2] for x in whole if x[0] == 30] == [50, 60, 61, 62]  # 30 ties: the least items
 
 
+def test_nearest_are_those_of_all_scores_without_a_row_a_pair(spark, monkeypatch):
+    rng = random.Random(4)
+    vector = lambda: [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]
+    index = spark.createDataFrame([(str(i), vector()) for i in range(150)], "doc string, vector array<float>")
+    asked = spark.createDataFrame([(i, vector()) for i in range(70)], "query long, vector array<double>")
+    whole = sorted(V.dense(index, asked, 5).collect())
+    monkeypatch.setattr(V, "ROWS_A_PART", 60)
+    got = V.nearest(index, asked, 5, block=30, tile=500)
+    assert len(whole) == 350 and [tuple(r) for r in sorted(got.collect())] == [tuple(r) for r in whole]
+    assert V.nearest(index.limit(0), asked, 5).count() == 0 and V.nearest(index.limit(3), asked, 5).count() == 210
+    # item vectors of four million pairs: in seconds, where each pair was a row
+    many = spark.range(2000).selectExpr("CAST(id AS string) AS item_id", "array(sin(id), cos(id), 1D) AS vector")
+    near = M.vector_candidates(spark.range(2000).selectExpr("id AS query_id", "id AS item_id"), many, 10)
+    assert near.groupBy("query_id").count().where("count = 10").count() == 2000
+    assert near.where("query_id = item_id AND score = 1").count() == 2000
+
+
 def test_negatives_come_from_all_items_by_weight(spark):
     items = spark.createDataFrame([(i, 1000.0 if i == 0 else 1.0) for i in range(2001)], "item_id long, weight double")
     own = {q: {2000 - q} for q in range(300)} | {"heavy": set(range(1994)), "all but two": set(range(1999))}
