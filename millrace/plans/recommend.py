@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
+from millrace.operators import neighbours as N
 from millrace.operators import ranking as K
 from millrace.operators import timeline as T
 from millrace.plans.registry import Registry
@@ -53,6 +54,10 @@ def _truth(i: DataFrame) -> DataFrame:
     return later.join(_queries(i).select("query_id"), "query_id", "left_semi")
 
 
+def _members(i: DataFrame) -> DataFrame:
+    return C.until(i, CUT).where("session_id IS NOT NULL AND item_id IS NOT NULL").select("session_id", "item_id").distinct()
+
+
 def _covis(i: DataFrame) -> DataFrame:
     return C.covisit_candidates(C.history(C.until(i, CUT, 30), _queries(i), 10), C.covisit_edges(i, CUT, scope="user_id"))
 
@@ -88,13 +93,23 @@ _JACCARD = """l AS (SELECT DISTINCT x.item_id AS item_i, y.item_id AS item_j FRO
 
 @R.add(f"WITH {_Q}, {_JACCARD}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_i ORDER BY jaccard DESC, item_j) AS INT) AS rank FROM s) SELECT item_i, item_j, rank, round(jaccard, 6) AS jaccard FROM r WHERE rank <= 20")
 def k6_neighbour_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return K.best(C.neighbour_jaccard(C.links_of(interactions(spark, d), CUT)), "item_i", "jaccard", "item_j", 20).withColumn("jaccard", F.round("jaccard", 6))
+    i = interactions(spark, d)
+    if graph := N.graph_of(_members(i), "session_id"):
+        near = N.nearest_neighbours(*graph, dict(i.dtypes)["item_id"], 20)
+    else:
+        near = K.best(C.neighbour_jaccard(C.links_of(i, CUT)), "item_i", "jaccard", "item_j", 20)
+    return near.select("item_i", "item_j", F.round("jaccard", 6).alias("jaccard"), "rank")
 
 
 @R.add(f"WITH {_Q}, {_JACCARD}, {_hist('hist')} SELECT query_id, item_j AS item_id, round(sum(jaccard ORDER BY pos), 6) AS score FROM hist JOIN s ON s.item_i = hist.item_id WHERE pos < 5 GROUP BY ALL")
 def k6_graph(spark: SparkSession, d: str) -> DataFrame:
     i = interactions(spark, d)
-    return C.jaccard_candidates(C.history(i, _queries(i), 5), C.neighbour_jaccard(C.links_of(i, CUT))).withColumn("score", F.round("score", 6))
+    hist = C.history(i, _queries(i), 5)
+    if graph := N.graph_of(_members(i), "session_id"):
+        found = N.neighbour_candidates(*graph, dict(i.dtypes)["item_id"], hist)
+    else:
+        found = C.jaccard_candidates(hist, C.neighbour_jaccard(C.links_of(i, CUT)))
+    return found.withColumn("score", F.round("score", 6))
 
 
 _MERGE = f"""{_COVIS}, {_POPS},

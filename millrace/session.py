@@ -72,6 +72,13 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for files of tasks, as a URI. It stays until clear_tables."""
+    path = named_folder(spark, name)
+    _tables.append(path)
+    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+
+
 _tables: list[str] = []
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
 from millrace.operators import models as M
+from millrace.operators import neighbours as N
 from millrace.operators import retrieval as V
 from millrace.operators.ranking import best
 from millrace.plans import recommend as P
@@ -63,6 +64,32 @@ def test_common_neighbours_against_brute_force(spark):
     assert C.neighbour_jaccard(spark.createDataFrame([], "item_i long, item_j long")).count() == 0
 
 
+def test_common_neighbours_without_rows_of_wedges(spark, monkeypatch):
+    rng = random.Random(6)
+    sets = [rng.sample(range(0, 300, 3), rng.choice([1, 2, 3, 9])) for _ in range(120)] + [list(range(0, 120, 3))]
+    near = defaultdict(set)
+    for x in sets:
+        for i in x:
+            near[i] |= {*x} - {i}
+    value = {(a, b): len(near[a] & near[b]) / len(near[a] | near[b]) for a in near for b in near[a]}
+    rows = spark.createDataFrame([(s, i) for s, x in enumerate(sets) for i in x], "session_id long, item_id long")
+    monkeypatch.setattr(N, "MET", 50)  # scopes and neighbours in pieces
+    graph, _ = N.graph_of(rows, "session_id")
+    for tasks in (1, 5):
+        graph = N._graph(rows.groupBy("session_id").agg(F.collect_list("item_id").alias("x")).where(F.size("x") > 1).select("x"), tasks)
+        got = N.nearest_neighbours(graph, tasks, "bigint", 7).collect()
+        best7 = {(a, b, k + 1, value[a, b]) for a in near for k, b in enumerate(sorted(near[a], key=lambda b: (-value[a, b], b))[:7])}
+        assert len(got) == len(best7) and {(r.item_i, r.item_j, r["rank"], r.jaccard) for r in got} == best7
+    hist = [(q, p, rng.choice([*near, 1])) for q in range(9) for p in range(4)]
+    want = defaultdict(float)
+    for q, _, i in hist:
+        for b in near.get(i, ()):
+            want[q, b] += value[i, b]
+    found = N.neighbour_candidates(graph, 5, "bigint", spark.createDataFrame(hist, "query_id long, pos int, item_id long")).collect()
+    assert {(r.query_id, r.item_id): r.score for r in found} == want and len(found) == len(want)
+    assert N.nearest_neighbours(*N.graph_of(rows.limit(0), "session_id"), "bigint", 7).count() == 0
+
+
 def test_pairs_of_long_scopes_in_blocks(spark):
     rows = [("s", i) for i in range(40)] + [("t", 1), ("t", 1), (None, 3), ("u", 9)]
     got = C.paired(spark.createDataFrame(rows, "s string, x int"), "s", ["x"], block=7).collect()
