@@ -48,6 +48,18 @@ def test_history_is_the_last_events_of_each_query(spark):
         assert got.get(q, {}) == {k: x[2] for k, x in enumerate(own)}
 
 
+def test_last_events_are_the_history_at_the_last_moment(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["u", "v", "w", None]), rng.randrange(9), f"2024-01-0{rng.randrange(1, 6)}", rng.randrange(3)) for _ in range(60)]
+    log = spark.createDataFrame([*rows, ("x", 1, None, 1)], "user_id string, item_id int, ts string, line int").withColumn("ts", F.to_timestamp("ts"))
+    queries = T.latest(log.where("ts IS NOT NULL"), "user_id").withColumn("query_id", F.col("user_id"))
+    want = sorted(T.history(log, queries, 4).select("query_id", "item_id", "pos").collect())
+    found = T.last_events(log, 4)
+    assert len(want) == 12 and sorted(found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("WindowGroupLimit") == 2 and plan.count("Exchange") == 1  # history has an exchange of all events and two more
+
+
 def test_pair_features_against_brute_force(spark):
     rows, log = _log(spark, 200)
     pairs = [(f"q{i}", u, x, datetime(2024, 1, 1) + timedelta(hours=h)) for i, (u, x, h) in enumerate([("u", "a", 2000), ("u", "z", 900), ("v", "b", 5), ("w", "c", 2400), ("x", "a", 700)])]
