@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.quality import domains, ranking_quality
+from millrace.operators.products import greatest_products
 from millrace.operators.retrieval import nearest
-from millrace.session import cut
+from millrace.session import cut, materialised, swept
+
+#: Rows of whole numbers that a table sent to all executors may have.
+BROADCAST = 2_000_000
 
 
 def cross_validated(df: DataFrame, key: str, features: Sequence[str], label: str, fold: str, folds: int, model: str = "linear") -> DataFrame:
@@ -60,17 +64,27 @@ def components(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def factor_candidates(log: DataFrame, queries: DataFrame, k: int, rank: int = 16, seed: int = 0) -> DataFrame:
-    """query_id, item_id, score of implicit-feedback factors; ids of any type, numbered here. Unknown users have none."""
-    numbers = {c: cut(log.select(c).where(F.col(c).isNotNull()).distinct().withColumn("__n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(c), F.lit(1024))).orderBy(c))).withColumn("__b", F.pmod(F.xxhash64(c), F.lit(1024)))) for c in ("user_id", "item_id")}
+    """query_id, item_id, score of implicit-feedback factors; ids of any type, numbered here. Unknown users have none.
+    Of equal scores the item of greater norm is first, then that of the lesser number."""
+    pairs = materialised(log.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).cast("float").alias("r")), "pairs")
+    numbers = {c: cut(pairs.select(c).where(F.col(c).isNotNull()).distinct().withColumn("__n", F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(c), F.lit(1024))).orderBy(c))).withColumn("__b", F.pmod(F.xxhash64(c), F.lit(1024)))) for c in ("user_id", "item_id")}
     for c, t in numbers.items():
         per = t.groupBy("__b").agg(F.max("__n").alias("m"))
         ahead = per.select("__b", F.coalesce(F.sum("m").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("a"))  # 1024 rows
-        numbers[c] = cut(t.join(F.broadcast(ahead), "__b").select(c, (F.col("a") + F.col("__n")).cast("int").alias(c[0])))
-    counts = log.join(numbers["user_id"], "user_id").join(numbers["item_id"], "item_id").groupBy("u", "i").agg(F.count(F.lit(1)).cast("float").alias("r"))
-    model = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=rank, maxIter=5, seed=seed, coldStartStrategy="drop").fit(cut(counts))
-    own = queries.select("user_id", "query_id").join(numbers["user_id"], "user_id")
-    recs = model.recommendForUserSubset(own.select("u").distinct(), k).join(own.select("u", "query_id"), "u")
-    return recs.select("query_id", F.explode("recommendations").alias("x")).select("query_id", F.col("x.i").alias("i"), F.col("x.rating").alias("score")).join(numbers["item_id"], "i").select("query_id", "item_id", "score")
+        numbers[c] = materialised(t.join(F.broadcast(ahead), "__b").select(c, (F.col("a") + F.col("__n")).cast("int").alias(c[0])), "numbers")
+        if dict(pairs.dtypes)[c] in ("int", "bigint") and numbers[c].count() <= BROADCAST:
+            numbers[c] = F.broadcast(numbers[c])
+    del t, per, ahead  # their files go with them
+    counts = pairs.join(numbers["user_id"], "user_id").join(numbers["item_id"], "item_id").select("u", "i", "r")
+    # a checkpoint each round: else the factors sent in all rounds stay on disk
+    als = ALS(userCol="u", itemCol="i", ratingCol="r", implicitPrefs=True, rank=rank, maxIter=5, seed=seed, coldStartStrategy="drop", checkpointInterval=1)
+    with swept(log.sparkSession):
+        model = als.fit(counts)
+    own = queries.select("user_id", "query_id").join(numbers["user_id"], "user_id").select("u", "query_id")
+    users = model.userFactors.select(F.col("id").alias("query"), F.col("features").alias("vector")).join(own.select(F.col("u").alias("query")).distinct(), "query")
+    found = greatest_products(model.itemFactors.select(F.col("id").alias("doc"), F.col("features").alias("vector")), users, k)
+    recs = found.select(F.col("query").alias("u"), F.col("doc").alias("i"), F.col("score").cast("float").alias("score")).join(own, "u")
+    return recs.join(numbers["item_id"], "i").select("query_id", "item_id", "score")
 
 
 def item_vectors(log: DataFrame, scope: str, size: int = 32, window: int = 5, piece: int = 1000, seed: int = 0) -> DataFrame:

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +83,27 @@ def kept_folder(spark: SparkSession, name: str) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{path}"
 
 
+@contextmanager
+def swept(spark: SparkSession, seconds: float = 5) -> Iterator[None]:
+    """Collects the driver's garbage now and every few seconds within: shuffle files of ended steps go with the last
+    reference to them, and a library's rounds leave many before the driver's memory is short."""
+    done, collect = threading.Event(), spark._jvm.System.gc
+
+    def run() -> None:
+        while not done.wait(seconds):
+            collect()
+
+    gc.collect()
+    collect()
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+
+
 _tables: list[str] = []
 
 

@@ -2,12 +2,14 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import candidates as C
 from millrace.operators import models as M
 from millrace.operators import neighbours as N
+from millrace.operators import products as X
 from millrace.operators import retrieval as V
 from millrace.operators.ranking import best
 from millrace.plans import recommend as P
@@ -161,3 +163,45 @@ def test_negatives_come_from_all_items_by_weight(spark):
     assert 0.8 < sum(0 in got[str(q)] for q in range(300)) / 300 < 0.93
     others = {i for q in range(300) for i in got[str(q)]}
     assert len(others) > 700 and sorted(drawn.collect()) == sorted(C.sampled_negatives(positives, items, 5).collect())
+
+
+def test_greatest_products_are_those_of_all_pairs_and_few_are_multiplied(spark, monkeypatch):
+    rng, n = np.random.default_rng(3), 30_000
+    items = (rng.normal(size=(n, 6)) * rng.uniform(0.2, 1, (n, 1))).astype(np.float32)
+    items[5], items[7:9] = items[6], 0
+    asked = rng.normal(size=(300, 6)).astype(np.float32)
+    asked[4] = 0
+    norms = np.sqrt((items.astype(float) ** 2).sum(1))
+    order = np.lexsort((np.arange(n), -norms))
+    whole = asked.astype(float) @ items[order].astype(float).T
+    want = [[order[p] for p in np.argsort(-s.round(13), kind="stable")[:7]] for s in whole]
+    cells, product = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, **x: cells.append(len(a) * b.shape[1]) or product(a, b, **x))
+    row, place, score = X.greatest(asked, items[order], norms[order], 7)
+    got = {q: order[place[row == q]].tolist() for q in range(300)}
+    assert got == dict(enumerate(want)) and sum(cells) < 0.5 * 300 * n
+    assert np.abs(score - whole[row, place]).max() < 1e-12
+    few = X.greatest(asked, items[order][:3], norms[order][:3], 7)
+    assert len(few[0]) == 900 and (np.bincount(few[0]) == 3).all()
+    table = lambda x, c: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{c} int, vector array<float>")
+    found = X.greatest_products(table(items, "doc").repartition(5), table(asked, "query"), 7).collect()
+    per = {q: [] for q in range(300)}
+    for r in sorted(found, key=lambda r: (-r.score, -norms[r.doc], r.doc)):
+        per[r.query].append(r.doc)
+    assert per == {q: [int(i) for i in x] for q, x in enumerate(want)}
+    assert X.greatest_products(table(items[:0], "doc"), table(asked, "query"), 7).count() == 0
+
+
+def test_factor_candidates_are_the_best_products_of_the_factors(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"u{rng.randrange(40)}", rng.randrange(300) * 10**12) for _ in range(1500)] + [(None, 1), ("u1", None)]
+    log, held = spark.createDataFrame(rows, "user_id string, item_id long"), []
+    monkeypatch.setattr(M, "greatest_products", lambda items, users, k: held.append((items.collect(), users.collect())) or X.greatest_products(items, users, k))
+    asked = spark.createDataFrame([("u1", 1), ("u1", 2), ("u2", 3), ("stranger", 4)], "user_id string, query_id int")
+    got = M.factor_candidates(log, asked, 10, rank=4).collect()
+    items, users = held[0]
+    scores = [sorted(r.score for r in got if r.query_id == q) for q in (1, 2, 3)]
+    best = [sorted(sorted((float(np.dot(u.vector, i.vector)) for i in items), reverse=True)[:10]) for u in users]
+    assert len(users) == 2 and len(items) == len({i for u, i in rows if u and i is not None}) and len(got) == 30 and scores[0] == scores[1]
+    assert all(min(max(abs(a - b) for a, b in zip(s, x)) for x in best) < 1e-6 for s in scores)
+    assert {r.item_id for r in got} <= {i for _, i in rows} and len({(r.query_id, r.item_id) for r in got}) == 30
